@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def fold(n: int):
 
 def slices(batch: pa.RecordBatch, text: str, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` of at most ``rows`` rows and about ``size`` bytes of ``text`` (one row may be larger), to bound a worker's memory."""
-    lengths = pa.compute.binary_length(batch[text]).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch[text]).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import bpe
+from slotloom.llm import bpe, simhash
 
-QUERIES = {"op8_bpe": bpe.op8_bpe}
+QUERIES = {"op3_simhash": simhash.op3_simhash, "op8_bpe": bpe.op8_bpe}
 ORACLE_SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Unicode's White_Space characters. str.split() also splits at U+001C to U+001F, which are not among them.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _RUN = re.compile(f"[^{WHITE}]+")
 
