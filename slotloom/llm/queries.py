@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import bpe, simhash
+from slotloom.llm import bpe, mixing, simhash
 
-QUERIES = {"op3_simhash": simhash.op3_simhash, "op8_bpe": bpe.op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_simhash": simhash.op3_simhash, "op5_poisson_mix": mixing.op5_poisson_mix, "op8_bpe": bpe.op8_bpe}
+ORACLE_SQL = {"op5_poisson_mix": mixing.ORACLE}
