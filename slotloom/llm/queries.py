@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import bpe, mixing, pii, simhash
+from slotloom.llm import bpe, langid, mixing, pii, simhash
 
-QUERIES = {"op3_simhash": simhash.op3_simhash, "op4_pii": pii.op4_pii, "op5_poisson_mix": mixing.op5_poisson_mix, "op8_bpe": bpe.op8_bpe}
+QUERIES = {"op3_simhash": simhash.op3_simhash, "op4_pii": pii.op4_pii, "op5_poisson_mix": mixing.op5_poisson_mix, "op6_langid": langid.op6_langid, "op8_bpe": bpe.op8_bpe}
 ORACLE_SQL = {"op4_pii": pii.op4_pii, "op5_poisson_mix": mixing.ORACLE}
