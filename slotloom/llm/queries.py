@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from slotloom.llm import bpe, langid, mixing, pii, simhash
+from slotloom.llm import bpe, langid, media, mixing, pii, quality, simhash, toxicity
 
-QUERIES = {"op3_simhash": simhash.op3_simhash, "op4_pii": pii.op4_pii, "op5_poisson_mix": mixing.op5_poisson_mix, "op6_langid": langid.op6_langid, "op8_bpe": bpe.op8_bpe}
-ORACLE_SQL = {"op4_pii": pii.op4_pii, "op5_poisson_mix": mixing.ORACLE}
+QUERIES = {
+    "op2_media": media.op2_media,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_pii": pii.op4_pii,
+    "op5_poisson_mix": mixing.op5_poisson_mix,
+    "op6_langid": langid.op6_langid,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_quality": quality.op10_quality,
+}
+ORACLE_SQL = {"op5_poisson_mix": mixing.ORACLE}
