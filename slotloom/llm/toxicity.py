@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from slotloom.llm.common import documents, fold
 from slotloom.llm.features import Buckets, platt, sampled, shares, with_scores, words
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1500
 BITS = 19
 STEMS = (4, 5, 6, 7)
 LIMIT = 0.3
 RIDGE = 1e-5
 #: Weight of the counterfactual part of the loss.
 FAIR = 1.0
-ROUNDS = 200
+ROUNDS = 120
 #: Sets of identity terms that a sentence should be able to swap without a change of its toxicity.
 IDENTITIES = [
     "woman man", "women men", "female male", "girl boy", "girls boys", "she he", "her his", "mother father", "wife husband", "daughter son",
@@ -58,8 +58,8 @@ class Stems(Buckets):
 
 
 def _rows(lists: list[list[str]], stems: Stems) -> tuple[np.ndarray, np.ndarray]:
-    own = [np.fromiter(set().union(*map(stems.__getitem__, set(x))), np.int64) for x in lists]
-    return np.concatenate([*own, np.empty(0, np.int64)]), np.array([len(x) for x in own], np.int64)
+    own = [np.fromiter(set().union(*map(stems.__getitem__, set(x))), np.int32) for x in lists]
+    return np.concatenate([*own, np.empty(0, np.int32)]), np.array([len(x) for x in own], np.int64)
 
 
 def _margins(w: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
