@@ -30,18 +30,22 @@ DEGREE = 28
 BUILD_BEAM = 64
 BEAM = 96
 ALPHA = 1.2
+#: Nodes of a shard among which a search picks the nearest to start from: in clustered data one start alone cannot reach all clusters.
+STARTS = 256
 #: Nodes that a beam expands at once, and nodes searched at once.
 WIDE = 4
 BATCH = 256
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``q`` the nearest nodes found, as places in ``x`` (-1 beyond the last), and their squared distances. ``graph`` is padded with -1."""
     n, b = len(x), len(q)
     ids, far = np.full((b, beam), -1), np.full((b, beam), np.inf, np.float32)
     done, seen, rows = np.zeros((b, beam), bool), np.zeros((b, n + 1), bool), np.arange(b)[:, None]
-    ids[:, 0], far[:, 0] = start, ((q - x[start]) ** 2).sum(1)
-    seen[:, start] = seen[:, n] = True
+    first = np.maximum((q**2).sum(1)[:, None] + (x[starts] ** 2).sum(1) - 2 * q @ x[starts].T, 0)
+    best = np.argsort(first, axis=1, kind="stable")[:, : min(WIDE, len(starts))]
+    ids[:, : best.shape[1]], far[:, : best.shape[1]] = starts[best], np.take_along_axis(first, best, 1)
+    seen[rows, starts[best]] = seen[:, n:] = True
     while True:
         open_ = np.where(done | (ids < 0), np.inf, far)
         at = np.argpartition(open_, WIDE, axis=1)[:, :WIDE] if beam > WIDE else np.argsort(open_, axis=1)
@@ -84,18 +88,18 @@ def prune(x: np.ndarray, points: np.ndarray, pool: np.ndarray, alpha: float, deg
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> tuple[np.ndarray, int]:
-    """The graph of the rows of ``x`` and the node where searches start."""
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """The graph of the rows of ``x`` and the nodes where searches start."""
     n = len(x)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     rng = np.random.default_rng(n)
+    starts = np.sort(rng.choice(n, min(n, STARTS), replace=False))
     graph = np.full((n, degree), -1)
     if n > 1:
         graph[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
         graph[graph == np.arange(n)[:, None]] = -1
     for alpha in (1.0, ALPHA):
         for batch in np.split(order := rng.permutation(n), range(BATCH, n, BATCH)):
-            found, _ = beam_search(x, graph, start, x[batch], beam)
+            found, _ = beam_search(x, graph, starts, x[batch], beam)
             graph[batch] = prune(x, batch, np.concatenate([found, graph[batch]], 1), alpha, degree)
             # edges back: each target's pool is its own neighbours and those that now lead to it
             to, by = graph[batch].ravel(), np.repeat(batch, degree)
@@ -109,7 +113,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> tuple[
                 spot = np.repeat(np.arange(len(t)), c), degree + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 pool[spot] = by[f[0] : f[0] + c.sum()]
                 graph[t] = prune(x, t, pool, alpha, degree)
-    return graph, start
+    return graph, starts
 
 
 def usable(table: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -131,7 +135,7 @@ def _levelled(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard: ``(dim, shard, start, n, vectors, graph, ids, counts)``, the last four as bytes."""
+    """One row for each shard: ``(dim, shard, n)`` and, as bytes, ``(starts, vectors, graph, ids, counts)."""
     sizes = {r["dim"]: (r["n"], r["longest"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))).alias("longest")).collect()}
     shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // shard_rows))) for d, (n, _) in sizes.items()], F.lit(1))
 
@@ -139,14 +143,14 @@ def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(table.num_rows, -1)
         order = np.argsort(table["node"].to_numpy())
         x, ids = x[order], [table["ids"][int(i)].as_py() for i in order]
-        graph, start = build(_levelled(x, sizes[x.shape[1]][1]))
+        graph, starts = build(_levelled(x, sizes[x.shape[1]][1]))
         return pa.table({
-            "dim": pa.array([x.shape[1]], pa.int32()), "shard": table["shard"].slice(0, 1).cast(pa.int64()), "start": pa.array([start]), "n": pa.array([len(x)]), "vectors": pa.array([x.tobytes()]),
+            "dim": pa.array([x.shape[1]], pa.int32()), "shard": table["shard"].slice(0, 1).cast(pa.int64()), "starts": pa.array([starts.astype(np.int64).tobytes()]), "n": pa.array([len(x)]), "vectors": pa.array([x.tobytes()]),
             "graph": pa.array([graph.astype(np.int32).tobytes()]), "ids": pa.array([np.array([i for own in ids for i in own], np.int64).tobytes()]), "counts": pa.array([np.array([len(o) for o in ids], np.int32).tobytes()]),
         })
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), shards))
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard bigint, start bigint, n bigint, vectors binary, graph binary, ids binary, counts binary")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard bigint, starts binary, n bigint, vectors binary, graph binary, ids binary, counts binary")
 
 
 def search(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM) -> DataFrame:
@@ -168,7 +172,7 @@ def search(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BE
                 out_q, out = [], []
                 for a in range(0, len(q), BATCH):
                     part = q[a : a + BATCH]
-                    found, _ = beam_search(level, graph, row["start"], np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1), beam)
+                    found, _ = beam_search(level, graph, np.frombuffer(row["starts"], np.int64), np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1), beam)
                     score = (x[np.maximum(found, 0)].astype(np.float64) * part[:, None, :].astype(np.float64)).sum(2)
                     for o, own, s in zip(row["qs"][a : a + BATCH], found, score):
                         own, s = own[own >= 0], s[own >= 0]

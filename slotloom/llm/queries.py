@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotloom.llm import bpe, langid, media, mixing, pii, quality, simhash, toxicity
+from slotloom.llm import ann, bpe, langid, media, mixing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op2_media": media.op2_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_poisson_mix": mixing.op5_poisson_mix,
     "op6_langid": langid.op6_langid,
+    "op7_ann": ann.op7_ann,
     "op8_bpe": bpe.op8_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
