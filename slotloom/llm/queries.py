@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from slotloom.llm import ann, bpe, langid, media, mixing, pii, quality, simhash, toxicity
+from slotloom.llm import ann, bpe, langid, media, mixing, pii, quality, simhash, tokenbin, toxicity
 
 QUERIES = {
+    "op1_tokenbin": tokenbin.op1_tokenbin,
     "op2_media": media.op2_media,
     "op3_simhash": simhash.op3_simhash,
     "op4_pii": pii.op4_pii,
