@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 
 FIRST = 64
-ONE, TWO = 13, 14  # bits of the hashed contexts
+ONE, TWO = 11, 12  # bits of the hashed contexts
 SURE = 7
 STEP, MOST = 32, 4096
 _MASK, _TOP, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 24)

@@ -26,7 +26,10 @@ from slotloom.llm.bpe import default_tokenizer
 from slotloom.llm.common import documents, slices, written
 from slotloom.llm.words import WordEncoder
 
-BLOCK = 1 << 14
+#: Ids of a block. Blocks advance together, so that more and shorter ones are faster, and fewer and longer ones smaller. A chunk with few ids has shorter blocks still.
+BLOCK = 1 << 11
+LEAST = 1 << 8
+TOGETHER = 512
 #: A chunk is closed once it has so many ids; a longer document is a chunk of its own.
 CHUNK = 6 << 20
 END = 2
@@ -53,7 +56,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END, block: int = B
         names, lengths, parts, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            data = b"".join(coder.encode(np.concatenate(parts), vocabulary, block))
+            ids = np.concatenate(parts)
+            size = min(block, max(LEAST, 1 << (len(ids) // TOGETHER).bit_length()))
+            data = b"".join(coder.encode(ids, vocabulary, size))
             many = pa.list_(pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], many), pa.array([lengths], many), pa.array([vocabulary], pa.int32()), pa.array([data], pa.binary())],
