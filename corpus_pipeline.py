@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
-Language identification drops documents that resemble no learned language; SimHash keeps one document of each group of
+Language identification drops documents that resemble no learned language; shingle similarity keeps one document of each group of
 near-duplicates; personal data are replaced by their kinds; sources are mixed to target weights; texts are encoded.
 Every stage but the last returns the columns of ``documents``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import bpe, langid, mixing, pii, simhash
+from slotloom.llm import bpe, copies, langid, mixing, pii
 from slotloom.llm.common import documents, written
 
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group."""
-    return simhash.first_of_each(docs)
+    """Keeps the document of the smallest doc_id of each group; 5-word shingles of a Jaccard index of 0.8 or more link."""
+    return copies.first_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,13 +142,19 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     return prints.join(each, "fp", "left").select("id", "fp", "component_id")
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row for each doc_id: the least by text, then by the other columns. Rows without a doc_id stay."""
+    often = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "often")
+    if often.isEmpty():
+        return docs
+    names = ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]
+    least = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return written(docs.join(often, "doc_id", "left_anti").unionByName(least), "once")
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the one their group of near-duplicates keeps: the one of the smallest doc_id. Rows without a doc_id stay; of several rows of one doc_id only the least by text, then by the other columns, counts."""
-    often = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "often")
-    if not often.isEmpty():
-        names = ["text", *[c for c in docs.columns if c not in ("text", "doc_id")]]
-        least = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("doc_id", "row.*").select(docs.columns)
-        docs = written(docs.join(often, "doc_id", "left_anti").unionByName(least), "once")
+    docs = once(docs)
     prints = written(with_fingerprint(docs), "prints")
     lost = near_duplicates(prints).where("id != component_id").select(F.col("id").alias("doc_id"))
     return docs.join(lost, "doc_id", "left_anti")
