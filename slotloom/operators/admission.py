@@ -1,74 +1,122 @@
 """Admission: which requests get in, where earlier ones stand in the way of later ones.
 
-Requests of one resource depend on each other only where their footprints, or those of allocations, overlap. So each resource's line is
-first cut into islands of overlapping footprints, and every island is decided by itself, in the order of ``seq``: a resource with many
-requests is as many groups as it has islands. Within an island the order is the meaning, and cannot be divided.
+Each resource's line is cut into pieces of about ``PIECE`` starts, and rounds decide all pieces at once. A piece is gone through in the order
+of ``seq``; a request is refused once what is held fills the capacity, and admitted once what is held and all earlier undecided
+requests together do not. One that lies in several pieces is refused by any of them and admitted by all. The first undecided
+request is always decided, so the rounds end; all requests across one cut share an instant, so a cut takes few rounds: when the capacity
+is held there, the others are refused together. A line of one piece takes one round.
+
+A task holds one piece: its starts (more where one instant has more), and what reaches into it from before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions.spans import plus
+from slotloom.functions.tables import kept
 from slotloom.operators.conflict import allocations, overlap_pairs, validated, what_if
-from slotloom.operators.sweep import merge_overlapping, running
+from slotloom.operators.sweep import running
 from slotloom.schema import Limits, Schedule
 
-
-def decide(island: pd.DataFrame) -> pd.DataFrame:
-    """Decides the requests of one island: rows (id, seq, start, end, capacity) with the buffer in ``end``; ``seq`` is null for what is allocated already."""
-    old = island[island.seq.isna()].sort_values(["start", "id"])
-    held = list(zip(old.start, old.end, old.id))
-    out = []
-    for r in island[island.seq.notna()].sort_values(["seq", "id"]).itertuples():
-        met = sorted((s, e, i) for s, e, i in held if s < r.end and e > r.start)
-        points = sorted([(max(s, r.start), 1) for s, _, _ in met] + [(e, -1) for _, e, _ in met])
-        peak = count = 0
-        for _, d in points:
-            count += d
-            peak = max(peak, count)
-        error = None
-        if peak >= max(r.capacity, 1):
-            error = f"Conflict: {met[0][2]}" if r.capacity <= 1 else f"CapacityExceeded: {r.capacity}"
-        else:
-            held.append((r.start, r.end, r.id))
-        out.append((r.id, error is None, error))
-    return pd.DataFrame(out, columns=["id", "admitted", "error"]).astype({"id": object, "admitted": bool, "error": object})
-
-
-def decide_islands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decides the islands of one partition, whose rows come island by island; no more than a batch and one island is held."""
+PIECE = 4096
+DAY = 86_400_000
+VERDICTS = "k bigint, capacity bigint, held bigint, most bigint, first_start bigint, first_id string, late boolean"
+
+
+def _peak(starts: np.ndarray, ends: np.ndarray, start: int) -> int:
+    """The largest number of these spans at one time from ``start`` on, which all of them reach."""
+    if not len(starts):
+        return 0
+    starts = np.sort(np.maximum(starts, start))
+    return int((np.searchsorted(starts, starts, "right") - np.searchsorted(np.sort(ends), starts, "right")).max())
+
+
+def judge(piece: pd.DataFrame) -> pd.DataFrame:
+    """What one piece says of its undecided requests: the peaks of what is held and of what may be, the first held that overlaps, and whether an undecided one (``late``) could come before that."""
+    old, asked = piece[piece.seq.isna()], piece[piece.seq.notna()].sort_values(["seq", "id", "k"])
+    rows = pd.concat([old, asked])
+    n, out = len(old), []
+    starts, ends, sure = (np.empty(len(rows), t) for t in (np.int64, np.int64, bool))
+    starts[:n], ends[:n], sure[:n] = old.start, old.end, True
+    ids = list(old.id)
+    for r in asked.itertuples():
+        if not r.held:
+            met = np.nonzero((starts[:n] < r.end) & (ends[:n] > r.start))[0]
+            known = met[sure[met]]
+            most = _peak(starts[met], ends[met], r.start)
+            held = most if len(known) == len(met) else _peak(starts[known], ends[known], r.start)
+            first = min(((int(starts[j]), ids[j]) for j in known), default=(None, None)) if r.capacity <= 1 else (None, None)
+            out.append((r.k, r.capacity, held, most, *first, len(known) < len(met)))
+            if held >= max(r.capacity, 1):
+                continue
+        starts[n], ends[n], sure[n] = r.start, r.end, r.held or (not r.crossing and most < max(r.capacity, 1))
+        ids.append(r.id)
+        n += 1
+    return pd.DataFrame(out, columns=["k", "capacity", "held", "most", "first_start", "first_id", "late"]).astype({"first_start": "Int64", "first_id": object, "late": bool})
+
+
+def judge_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Judges the pieces of one partition, whose rows come piece by piece; no more than a batch and one piece is held."""
     rest = None
     for frame in frames:
         rows = frame if rest is None else pd.concat([rest, frame])
         if not len(rows):
             continue
         last = rows.iloc[-1]
-        open_ = (rows.resource_id == last.resource_id) & (rows.island == last.island)
+        open_ = (rows.resource_id == last.resource_id) & (rows.piece == last.piece)
         rest = rows[open_]
-        yield from (decide(i) for _, i in rows[~open_].groupby(["resource_id", "island"], sort=False))
+        yield from (judge(i) for _, i in rows[~open_].groupby(["resource_id", "piece"], sort=False))
     if rest is not None:
-        yield decide(rest)
+        yield judge(rest)
+
+
+def _placed(spans: DataFrame, piece: int) -> DataFrame:
+    """Each of ``spans`` once for each ``piece`` of its resource's line in which it lies, and whether these are several (``crossing``)."""
+    counted = running(spans.select("resource_id", F.col("start").alias("t"), F.lit(1).cast("bigint").alias("n")), ["n"], ["resource_id"], bucket=DAY)
+    cuts = counted.where(F.floor(F.col("a_n") / piece) > F.floor(F.col("b_n") / piece)).select("resource_id", (F.col("t") + 1).alias("t"), F.lit(1).cast("bigint").alias("cut"))
+    mark = lambda t: spans.select("resource_id", t.alias("t"), F.lit(0).cast("bigint").alias("cut"))
+    at = running(cuts.unionByName(mark(F.col("start"))).unionByName(mark(F.col("end") - 1)), ["cut"], ["resource_id"], bucket=DAY)
+    at = kept(at.select("resource_id", "t", F.col("a_cut").alias("piece")), "pieces")
+    rows = spans.join(at.select("resource_id", F.col("t").alias("start"), F.col("piece").alias("lo")), ["resource_id", "start"])
+    rows = rows.withColumn("last", F.col("end") - 1).join(at.select("resource_id", F.col("t").alias("last"), F.col("piece").alias("hi")), ["resource_id", "last"])
+    return rows.select(*spans.columns, (F.col("lo") < F.col("hi")).alias("crossing"), F.explode(F.sequence("lo", "hi")).alias("piece"))
 
 
-def admit(s: Schedule, requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``(id, admitted, error)`` for bookings or holds ``requests (seq, id, resource_id, start, end)``, each decided after all of smaller ``seq``."""
+def admit(s: Schedule, requests: DataFrame, limits: Limits = Limits(), piece: int = PIECE) -> DataFrame:
+    """``(id, admitted, error)`` for bookings or holds ``requests (seq, id, resource_id, start, end)``, each decided after all of smaller ``seq``. The rounds run when this is called."""
     of = s.resources.select(F.col("id").alias("resource_id"), "capacity", F.coalesce("buffer_after", F.lit(0)).alias("buffer"))
-    rows = validated(requests, limits).join(of, "resource_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("capacity").isNull(), "NotFound")))
+    rows = kept(validated(requests, limits).join(of, "resource_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("capacity").isNull(), "NotFound"))), "requests")
     asked = rows.where("error is null").select("resource_id", "id", "seq", "start", plus("end", "buffer").alias("end"))
-    held = allocations(s).join(asked.select("resource_id").distinct(), "resource_id", "left_semi")
+    held = allocations(s).join(asked.select("resource_id").distinct(), "resource_id", "left_semi").where("b_start < b_end")
     every = asked.unionByName(held.select("resource_id", F.col("b_id").alias("id"), F.lit(None).cast("bigint").alias("seq"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-    islands = merge_overlapping(every.select("resource_id", "start", "end"))
-    a = every.select("resource_id", F.struct("id", "seq").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    b = islands.select("resource_id", F.col("start").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    inside = overlap_pairs(a, b).select("resource_id", F.col("b_id").alias("island"), "a_id.id", "a_id.seq", F.col("a_start").alias("start"), F.col("a_end").alias("end"))
-    inside = inside.join(of.select("resource_id", "capacity"), "resource_id")
-    dealt = inside.repartition("resource_id", "island").sortWithinPartitions("resource_id", "island")
-    decided = dealt.mapInPandas(decide_islands, "id string, admitted boolean, error string")
+    every = kept(every.join(of.select("resource_id", "capacity"), "resource_id").withColumn("k", F.monotonically_increasing_id()), "footprints")
+    now, settled = kept(_placed(every, piece).withColumn("held", F.col("seq").isNull()), "placed"), None
+    while True:
+        told = now.repartition("resource_id", "piece").sortWithinPartitions("resource_id", "piece").mapInPandas(judge_pieces, VERDICTS)
+        told = told.groupBy("k").agg(F.max("held").alias("held"), F.max("most").alias("most"), F.max(F.greatest("capacity", F.lit(1))).alias("full"), F.min(F.when(F.col("first_start").isNotNull(), F.struct("first_start", "first_id"))).alias("first"), F.max("late").alias("late"))
+        admitted = F.when(F.col("held") >= F.col("full"), False).when(F.col("most") < F.col("full"), True)
+        told = kept(told.select("k", admitted.alias("admitted"), F.col("first.first_id").alias("first_id"), "late"), "round")
+        good = told.where("admitted is not null")
+        settled = good if settled is None else settled.unionByName(good)
+        if told.where("admitted is null").isEmpty():
+            break
+        now = now.join(good.select("k", "admitted"), "k", "left").where("admitted is null or admitted").withColumn("held", F.col("held") | F.col("admitted").isNotNull()).drop("admitted")
+        now = kept(now.join(now.where("not held").select("resource_id", "piece").distinct(), ["resource_id", "piece"], "left_semi"), "placed")
+    settled = kept(every.where("seq is not null").join(settled, "k"), "settled")
+    # refused while an earlier overlapping request was open: the first that overlaps shows in the end only
+    late = settled.where("not admitted and late and capacity <= 1").select("resource_id", F.struct("k", "seq", "id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    inside = every.where("seq is null").unionByName(settled.where("admitted").select(every.columns))
+    met = overlap_pairs(late, inside.select("resource_id", F.struct("seq", "id", "k").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end")))
+    before = F.col("b_id.seq").isNull() | (F.struct("b_id.seq", "b_id.id", "b_id.k") < F.struct("a_id.seq", "a_id.id", "a_id.k"))
+    met = met.where(before).groupBy(F.col("a_id.k").alias("k")).agg(F.min(F.struct("b_start", "b_id.id")).alias("met")).select("k", F.col("met.id").alias("met_id"))
+    error = F.when(F.col("admitted"), None).when(F.col("capacity") <= 1, F.concat(F.lit("Conflict: "), F.coalesce("met_id", "first_id"))).otherwise(F.concat(F.lit("CapacityExceeded: "), F.col("capacity")))
+    decided = settled.join(met, "k", "left").select("id", "admitted", error.alias("error"))
     return decided.unionByName(rows.where("error is not null").select("id", F.lit(False).alias("admitted"), "error"))
 
 
