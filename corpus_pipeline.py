@@ -38,8 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids (little-endian unsigned 32-bit integers) and their number."""
-    out = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), bpe.default_tokenizer()).drop("text")
+    """Each document's ids (little-endian unsigned 32-bit integers), their number, and the digest of what they decode to."""
+    tokenizer = bpe.default_tokenizer()
+    out = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), tokenizer).drop("text")
+    out = bpe.bpe_decode(out, tokenizer).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
     return out.withColumn("n_tokens", F.expr("cast(octet_length(ids) div 4 as bigint)"))
 
 
