@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from slotloom.functions.spans import plus
 from slotloom.functions.tables import kept
-from slotloom.operators.conflict import allocations, overlap_pairs, validated, what_if
-from slotloom.operators.sweep import running
+from slotloom.operators.conflict import LAST, allocations, overlap_pairs, validated, what_if
+from slotloom.operators.mutations import over_cap
+from slotloom.operators.sweep import peaks, running
 from slotloom.schema import Limits, Schedule
+from slotloom.sources.events import REMOVED, event
 
 PIECE = 4096
 DAY = 86_400_000
@@ -46,6 +48,8 @@ def judge(piece: pd.DataFrame) -> pd.DataFrame:
     starts[:n], ends[:n], sure[:n] = old.start, old.end, True
     ids = list(old.id)
     for r in asked.itertuples():
+        if r.ghost and r.held:
+            continue
         if not r.held:
             met = np.nonzero((starts[:n] < r.end) & (ends[:n] > r.start))[0]
             known = met[sure[met]]
@@ -53,7 +57,7 @@ def judge(piece: pd.DataFrame) -> pd.DataFrame:
             held = most if len(known) == len(met) else _peak(starts[known], ends[known], r.start)
             first = min(((int(starts[j]), ids[j]) for j in known), default=(None, None)) if r.capacity <= 1 else (None, None)
             out.append((r.k, r.capacity, held, most, *first, len(known) < len(met)))
-            if held >= max(r.capacity, 1):
+            if held >= max(r.capacity, 1) or r.ghost:
                 continue
         starts[n], ends[n], sure[n] = r.start, r.end, r.held or (not r.crossing and most < max(r.capacity, 1))
         ids.append(r.id)
@@ -78,10 +82,10 @@ def judge_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _placed(spans: DataFrame, piece: int) -> DataFrame:
     """Each of ``spans`` once for each ``piece`` of its resource's line in which it lies, and whether these are several (``crossing``)."""
-    counted = running(spans.select("resource_id", F.col("start").alias("t"), F.lit(1).cast("bigint").alias("n")), ["n"], ["resource_id"], bucket=DAY)
+    counted = running(spans.select("resource_id", F.col("start").alias("t"), F.lit(1).cast("bigint").alias("n")), "n", ["resource_id"], bucket=DAY)
     cuts = counted.where(F.floor(F.col("a_n") / piece) > F.floor(F.col("b_n") / piece)).select("resource_id", (F.col("t") + 1).alias("t"), F.lit(1).cast("bigint").alias("cut"))
     mark = lambda t: spans.select("resource_id", t.alias("t"), F.lit(0).cast("bigint").alias("cut"))
-    at = running(cuts.unionByName(mark(F.col("start"))).unionByName(mark(F.col("end") - 1)), ["cut"], ["resource_id"], bucket=DAY)
+    at = running(cuts.unionByName(mark(F.col("start"))).unionByName(mark(F.col("end") - 1)), "cut", ["resource_id"], bucket=DAY)
     at = kept(at.select("resource_id", "t", F.col("a_cut").alias("piece")), "pieces")
     rows = spans.join(at.select("resource_id", F.col("t").alias("start"), F.col("piece").alias("lo")), ["resource_id", "start"])
     rows = rows.withColumn("last", F.col("end") - 1).join(at.select("resource_id", F.col("t").alias("last"), F.col("piece").alias("hi")), ["resource_id", "last"])
@@ -89,12 +93,17 @@ def _placed(spans: DataFrame, piece: int) -> DataFrame:
 
 
 def admit(s: Schedule, requests: DataFrame, limits: Limits = Limits(), piece: int = PIECE) -> DataFrame:
-    """``(id, admitted, error)`` for bookings or holds ``requests (seq, id, resource_id, start, end)``, each decided after all of smaller ``seq``. The rounds run when this is called."""
+    """``(id, admitted, error)`` for bookings or holds ``requests (seq, id, resource_id, start, end)``, each decided after all of smaller ``seq``. The rounds run when this is called.
+
+    Ids must differ. A hold (with a column ``expires_at``) that has expired when it is placed may be admitted but stands in nobody's way. Requests whose
+    resource has ``Limits.intervals`` intervals when their turn comes are refused before any conflict is looked for.
+    """
+    ghost = F.coalesce(F.col("expires_at") <= s.now, F.lit(False)) if "expires_at" in requests.columns else F.lit(False)
     of = s.resources.select(F.col("id").alias("resource_id"), "capacity", F.coalesce("buffer_after", F.lit(0)).alias("buffer"))
     rows = kept(validated(requests, limits).join(of, "resource_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("capacity").isNull(), "NotFound"))), "requests")
-    asked = rows.where("error is null").select("resource_id", "id", "seq", "start", plus("end", "buffer").alias("end"))
+    asked = rows.where("error is null").select("resource_id", "id", "seq", "start", plus("end", "buffer").alias("end"), ghost.alias("ghost"))
     held = allocations(s).join(asked.select("resource_id").distinct(), "resource_id", "left_semi").where("b_start < b_end")
-    every = asked.unionByName(held.select("resource_id", F.col("b_id").alias("id"), F.lit(None).cast("bigint").alias("seq"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
+    every = asked.unionByName(held.select("resource_id", F.col("b_id").alias("id"), F.lit(None).cast("bigint").alias("seq"), F.col("b_start").alias("start"), F.col("b_end").alias("end"), F.lit(False).alias("ghost")))
     every = kept(every.join(of.select("resource_id", "capacity"), "resource_id").withColumn("k", F.monotonically_increasing_id()), "footprints")
     now, settled = kept(_placed(every, piece).withColumn("held", F.col("seq").isNull()), "placed"), None
     while True:
@@ -111,12 +120,13 @@ def admit(s: Schedule, requests: DataFrame, limits: Limits = Limits(), piece: in
     settled = kept(every.where("seq is not null").join(settled, "k"), "settled")
     # refused while an earlier overlapping request was open: the first that overlaps shows in the end only
     late = settled.where("not admitted and late and capacity <= 1").select("resource_id", F.struct("k", "seq", "id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    inside = every.where("seq is null").unionByName(settled.where("admitted").select(every.columns))
+    inside = every.where("seq is null").unionByName(settled.where("admitted and not ghost").select(every.columns))
     met = overlap_pairs(late, inside.select("resource_id", F.struct("seq", "id", "k").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end")))
     before = F.col("b_id.seq").isNull() | (F.struct("b_id.seq", "b_id.id", "b_id.k") < F.struct("a_id.seq", "a_id.id", "a_id.k"))
     met = met.where(before).groupBy(F.col("a_id.k").alias("k")).agg(F.min(F.struct("b_start", "b_id.id")).alias("met")).select("k", F.col("met.id").alias("met_id"))
     error = F.when(F.col("admitted"), None).when(F.col("capacity") <= 1, F.concat(F.lit("Conflict: "), F.coalesce("met_id", "first_id"))).otherwise(F.concat(F.lit("CapacityExceeded: "), F.col("capacity")))
-    decided = settled.join(met, "k", "left").select("id", "admitted", error.alias("error"))
+    decided = settled.join(met, "k", "left").select("id", "admitted", error.alias("error"), "seq", "resource_id", F.col("admitted").alias("ok"))
+    decided = over_cap(s, kept(decided, "decided"), limits).select("id", (F.col("admitted") & ~F.col("full")).alias("admitted"), F.when(F.col("full"), "LimitExceeded: too many intervals on resource").otherwise(F.col("error")).alias("error"))
     return decided.unionByName(rows.where("error is not null").select("id", F.lit(False).alias("admitted"), "error"))
 
 
@@ -125,7 +135,7 @@ def batch_what_if(s: Schedule, batches: DataFrame, limits: Limits = Limits()) ->
 
     A batch is refused if a member would be refused alone, or if its members exceed the capacity together: for capacity up to 1 when two of
     them overlap, else when members and allocations together do so anywhere in the batch's span on that resource, even where the
-    allocations alone do. The error is the least of those found. Ids of members must differ within a batch.
+    allocations alone do. The error is the least of those found; a batch of more than ``Limits.batch`` members is refused as it is. Ids of members must differ within a batch.
     """
     key = F.concat_ws("\0", "batch_id", "id")
     single = what_if(s, batches.select(key.alias("id"), "resource_id", "start", "end"), limits).where("error is not null").select(F.split("id", "\0")[0].alias("batch_id"), "error")
@@ -136,12 +146,13 @@ def batch_what_if(s: Schedule, batches: DataFrame, limits: Limits = Limits()) ->
     near = overlap_pairs(many.select("resource_id", F.col("batch_id").alias("a_id"), F.greatest(F.col("a_start") - F.col("buffer"), F.lit(0)).alias("a_start"), "a_end"), allocations(s))
     load = members.join(bounds.select("batch_id", "resource_id"), ["batch_id", "resource_id"], "left_semi").select("batch_id", "resource_id", "start", "end")
     load = load.unionByName(near.select(F.col("a_id").alias("batch_id"), "resource_id", F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-    points = load.select("batch_id", "resource_id", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).cast("bigint").alias("n")), F.struct(F.col("end").alias("t"), F.lit(-1).cast("bigint").alias("n")))).alias("p")).select("batch_id", "resource_id", "p.t", "p.n")
-    peaks = running(points, ["n"], ["batch_id", "resource_id"]).groupBy("batch_id", "resource_id").agg(F.max("a_n").alias("peak"))
-    over = peaks.join(of, "resource_id").where(F.col("peak") > F.greatest("capacity", F.lit(1)))
+    load = load.where("start < end").withColumn("end", F.greatest(F.least("end", F.lit(LAST)), F.col("start") + 1))  # the most is reached at a start
+    most = peaks(load, ["batch_id", "resource_id"], DAY * 256)
+    over = most.join(of, "resource_id").where(F.col("peak") > F.greatest("capacity", F.lit(1)))
     together = over.select("batch_id", F.when(F.col("capacity") <= 1, F.lit("Conflict")).otherwise(F.concat(F.lit("CapacityExceeded: "), F.col("capacity"))).alias("error"))
     found = single.unionByName(together).groupBy("batch_id").agg(F.min("error").alias("error"))
-    return batches.select("batch_id").distinct().join(found, "batch_id", "left")
+    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("n"))
+    return sizes.join(found, "batch_id", "left").select("batch_id", F.when(F.col("n") > limits.batch, "LimitExceeded: batch too large").otherwise(F.col("error")).alias("error"))
 
 
 def commit_holds(s: Schedule, requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -160,7 +171,5 @@ def commit_events(s: Schedule, requests: DataFrame, first_seq: int, limits: Limi
     good = good.withColumn("pair", F.monotonically_increasing_id() * 2 + F.lit(first_seq))
     both = F.array(F.struct(F.col("pair").alias("seq"), F.lit("HoldReleased").alias("type"), F.col("hold_id").alias("id")), F.struct((F.col("pair") + 1).alias("seq"), F.lit("BookingConfirmed").alias("type"), F.col("id").alias("id")))
     rows = good.select("resource_id", "start", "end", "label", F.explode(both).alias("e")).select("e.*", "resource_id", "start", "end", "label")
-    from slotloom.sources.events import REMOVED, _event
-
     keep = lambda c: F.when(~F.col("type").isin(REMOVED), F.col(c))
-    return _event("", rows, F.col("seq"), type=F.col("type"), start=keep("start"), end=keep("end"), label=keep("label"))
+    return event("", rows, F.col("seq"), type=F.col("type"), start=keep("start"), end=keep("end"), label=keep("label"))

@@ -3,21 +3,26 @@
 An instant is free if it is open, not blocked, and fewer allocations than the capacity are active. Open times are those of the nearest
 resource, itself first and then upwards, that has an open rule overlapping the window; blocked times are those of all of them.
 Allocations are the resource's own bookings and live holds, each prolonged by the resource's buffer. Capacity 0 counts as 1.
+
+A circle, too many levels or a missing parent above a resource that is asked for raises ScheduleError, as no rule can be trusted there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.functions.spans import is_live, overlaps, plus
-from slotloom.operators.hierarchy import closure
-from slotloom.operators.sweep import BUCKET, at_least, endpoints, running, runs, segments
+from slotloom.functions.tables import kept, small
+from slotloom.operators.hierarchy import checked_tree
+from slotloom.operators.sweep import BUCKET, at_least, pieces_of, runs, segments, spans_of, swept
 from slotloom.schema import Limits, Schedule, ScheduleError
 
 STATE = ["open", "blocked", "active"]
+#: A rule meets the resources below it in so many parts, so that a root with all resources below it is no task of its own.
+PARTS = 32
 
 
 def checked_window(start: int, end: int, limits: Limits, clamp: bool = True) -> tuple[int, int]:
@@ -29,36 +34,73 @@ def checked_window(start: int, end: int, limits: Limits, clamp: bool = True) ->
     return start, end
 
 
+def _inner(tree: DataFrame) -> DataFrame:
+    return small(tree.where("depth > 0").select("ancestor_id").distinct().withColumn("inner", F.lit(True)))
+
+
+def _dealt(rows: DataFrame, inner: DataFrame) -> DataFrame:
+    """Adds ``part`` to ``rows (ancestor_id, ...)``: -1, by which a resource meets its own, and for ``inner`` resources, which have others below them, also all of ``PARTS``, in which these are dealt."""
+    parts = F.when(F.col("inner"), F.sequence(F.lit(-1), F.lit(PARTS - 1))).otherwise(F.array(F.lit(-1)))
+    return rows.join(inner, "ancestor_id", "left").withColumn("part", F.explode(parts)).drop("inner")
+
+
+def sources_of(tree: DataFrame, rules: DataFrame, inner: DataFrame) -> DataFrame:
+    """``(id, ancestor_id, part, takes_open)``: from whom each resource takes rules; open ones from the nearest that has any in ``rules``, blocking ones from all.
+
+    What the rules say of a resource is one row with two flags. The nearest is found among a resource's own ancestors.
+    """
+    flags = _dealt(rules.groupBy(F.col("resource_id").alias("ancestor_id")).agg(F.max(~F.col("blocking")).alias("opens"), F.max("blocking").alias("blocks")), inner)
+    part = F.when(F.col("depth") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    links = tree.withColumn("part", part).join(flags, ["ancestor_id", "part"])
+    lists = links.groupBy("id").agg(F.collect_list(F.struct("depth", "ancestor_id", "part", "blocks")).alias("all"), F.min(F.when(F.col("opens"), F.col("depth"))).alias("nearest"))  # a row for each level at most
+    each = lists.select("id", "nearest", F.explode("all").alias("a")).select("id", "a.ancestor_id", "a.part", "a.blocks", F.coalesce(F.col("a.depth") == F.col("nearest"), F.lit(False)).alias("takes_open"))
+    return each.where("takes_open or blocks").drop("blocks")
+
+
 def inherited_rules(rules: DataFrame, tree: DataFrame, start: int, end: int) -> DataFrame:
     """``(resource_id, start, end, blocking)``: what applies to each resource of ``tree`` in the window, clamped to it."""
-    own = rules.where(overlaps("start", "end", start, end)).select(
-        F.col("resource_id").alias("ancestor_id"), F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "blocking"
-    )
-    rows = own.join(tree, "ancestor_id").select(F.col("id").alias("resource_id"), "depth", "start", "end", "blocking")
-    nearest = rows.where("not blocking").groupBy("resource_id").agg(F.min("depth").alias("nearest"))
-    return rows.join(nearest, "resource_id", "left").where("blocking or depth = nearest").select("resource_id", "start", "end", "blocking")
+    rules = rules.where(overlaps("start", "end", start, end)).select(F.col("resource_id").alias("ancestor_id"), F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "blocking")
+    inner = _inner(tree)
+    links = sources_of(tree, rules.withColumnRenamed("ancestor_id", "resource_id"), inner)
+    rows = _dealt(rules, inner).join(links, ["ancestor_id", "part"]).where("blocking or takes_open")
+    return rows.select(F.col("id").alias("resource_id"), "start", "end", "blocking")
+
+
+def allocated(s: Schedule) -> DataFrame:
+    """``(resource_id, id, start, end, capacity)``: bookings and live holds with their buffers, and the capacity that they take from."""
+    rows = s.bookings.select("id", "resource_id", "start", "end").unionByName(s.holds.where(is_live(s.now)).select("id", "resource_id", "start", "end"))
+    of = s.resources.select(F.col("id").alias("resource_id"), "buffer_after", F.greatest("capacity", F.lit(1)).alias("capacity"))
+    return rows.where("start < end").join(of, "resource_id").select("resource_id", "id", "start", plus("end", F.coalesce("buffer_after", F.lit(0))).alias("end"), "capacity")
 
 
 def active_allocations(s: Schedule, start: int, end: int) -> DataFrame:
-    """``(resource_id, start, end)``: bookings and live holds with their buffers, as far as they reach into the window."""
-    rows = s.bookings.select("resource_id", "start", "end").unionByName(s.holds.where(is_live(s.now)).select("resource_id", "start", "end"))
-    rows = rows.where((F.col("start") < end) & (F.col("start") < F.col("end"))).join(s.resources.select(F.col("id").alias("resource_id"), "buffer_after"), "resource_id")
-    rows = rows.withColumn("end", plus("end", F.coalesce("buffer_after", F.lit(0)))).where(F.col("end") > start)
-    return rows.select("resource_id", F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"))
+    """``(resource_id, start, end, capacity)``: allocations with their buffers, as far as they reach into the window."""
+    rows = allocated(s).where((F.col("start") < end) & (F.col("end") > start))
+    return rows.select("resource_id", F.greatest("start", F.lit(start)).alias("start"), F.least("end", F.lit(end)).alias("end"), "capacity")
+
+
+def _state(rules: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spans of open and blocking rules and of allocations, for one sweep."""
+    kinds = {"open": rules.where("not blocking"), "blocked": rules.where("blocking")}
+    rows = spans_of(active, "active", STATE, keys, ["capacity"])
+    for name, part in kinds.items():
+        rows = rows.unionByName(spans_of(part.withColumn("capacity", F.lit(None).cast("bigint")), name, STATE, keys, ["capacity"]))
+    return rows
+
+
+def is_free(at) -> Column:
+    """Where nothing is allocated no row knows the capacity, which is 1 at least."""
+    return (at("open") > 0) & (at("blocked") == 0) & (at("active") < F.coalesce("capacity", F.lit(1)))
 
 
-def swept(s: Schedule, start: int, end: int, ids: Sequence[str] | None = None, limits: Limits = Limits(), bucket: int = BUCKET) -> DataFrame:
-    """The running numbers of open and blocking rules and of allocations, and the capacity, of every resource (of ``ids``)."""
-    tree = closure(s.resources, limits)
+def state_of(s: Schedule, start: int, end: int, ids: Sequence[str] | None = None, limits: Limits = Limits(), bucket: int = BUCKET) -> DataFrame:
+    """The running numbers of open and blocking rules and of allocations, and the capacity where it is known, of every resource (of ``ids``)."""
+    tree = checked_tree(s.resources, None if ids is None else list(ids), limits)
     if ids is not None:
-        tree = tree.where(F.col("id").isin(list(ids)))
-        s = Schedule(s.resources.where(F.col("id").isin(list(ids))), s.rules, s.holds, s.bookings, s.now)
-    rules = inherited_rules(s.rules, tree, start, end)
-    key = ["resource_id"]
-    points = endpoints(rules.where("not blocking"), "open", STATE, key).unionByName(endpoints(rules.where("blocking"), "blocked", STATE, key))
-    points = points.unionByName(endpoints(active_allocations(s, start, end), "active", STATE, key))
-    capacity = s.resources.select(F.col("id").alias("resource_id"), F.greatest("capacity", F.lit(1)).alias("capacity"))
-    return running(points, STATE, key, bucket=bucket).join(capacity, "resource_id")
+        own = F.col("id").isin(list(ids))
+        of = F.col("resource_id").isin(list(ids))
+        s = Schedule(s.resources.where(own), s.rules, s.holds.where(of), s.bookings.where(of), s.now)
+    return swept(_state(inherited_rules(s.rules, tree, start, end), active_allocations(s, start, end), ["resource_id"]), STATE, ["resource_id"], ["capacity"], bucket)
 
 
 def availability(s: Schedule, start: int, end: int, min_duration: int | None = None, ids: Sequence[str] | None = None, limits: Limits = Limits(), bucket: int = BUCKET) -> DataFrame:
@@ -68,10 +110,33 @@ def availability(s: Schedule, start: int, end: int, min_duration: int | None = N
     start, end = checked_window(start, end, limits)
     if start >= end:
         return s.resources.sparkSession.createDataFrame([], "resource_id string, start bigint, end bigint")
-    free = runs(swept(s, start, end, ids, limits, bucket), lambda at: (at("open") > 0) & (at("blocked") == 0) & (at("active") < F.col("capacity")), ["resource_id"], bucket)
+    free = runs(state_of(s, start, end, ids, limits, bucket), is_free, ["resource_id"], bucket)
     return free if min_duration is None else free.where(F.col("end") - F.col("start") >= min_duration)
 
 
+def availability_of(s: Schedule, requests: DataFrame, limits: Limits = Limits(), bucket: int = BUCKET) -> DataFrame:
+    """``(query_id, start, end)``: for each of ``requests (query_id, resource_id, start, end)`` the maximal free spans of its resource in a window of its own.
+
+    The window decides from whom open times are taken, so that requests on one resource may see different ancestors. Ids of requests
+    must differ; unknown resources and empty windows give nothing. Requests meet rules and allocations in time buckets.
+    """
+    from slotloom.operators.conflict import overlap_pairs
+
+    tree = checked_tree(s.resources, None, limits)
+    asked = kept(requests.where("start < end").select("query_id", "resource_id", F.greatest("start", F.lit(0)).alias("start"), F.least("end", F.lit(limits.last_ms)).alias("end")).where("start < end"), "asked")
+    above = asked.join(tree.select(F.col("id").alias("resource_id"), "ancestor_id", "depth"), "resource_id")
+    a = above.select(F.col("ancestor_id").alias("resource_id"), F.struct("query_id", "depth").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    b = s.rules.select("resource_id", F.col("blocking").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    cut = [F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end")]
+    met = kept(overlap_pairs(a, b, bucket).select("a_id.query_id", "a_id.depth", F.col("b_id").alias("blocking"), *cut), "met")
+    nearest = met.where("not blocking").groupBy("query_id").agg(F.min("depth").alias("nearest"))
+    rules = met.join(nearest, "query_id", "left").where("blocking or depth = nearest").select("query_id", "start", "end", "blocking")
+    taken = allocated(s).select("resource_id", F.col("capacity").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    own = asked.select("resource_id", F.col("query_id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    active = overlap_pairs(own, taken, bucket).select(F.col("a_id").alias("query_id"), *cut, F.col("b_id").alias("capacity"))
+    return runs(swept(_state(rules, active, ["query_id"]), STATE, ["query_id"], ["capacity"], bucket), is_free, ["query_id"], bucket)
+
+
 def k_of_n(free: DataFrame, requests: DataFrame, min_duration: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """``(query_id, start, end)``: where at least ``k`` of a request's resources are free.
 
@@ -79,8 +144,8 @@ def k_of_n(free: DataFrame, requests: DataFrame, min_duration: int | None = None
     named, gives nothing. Spans are merged before ``min_duration`` is asked for.
     """
     named = requests.groupBy("query_id", "resource_id").agg(F.count("*").alias("times"), F.max("k").alias("k"))
-    rows = free.join(named, "resource_id").select("query_id", "k", "start", "end", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("i"))
-    out = at_least(rows, F.col("k"), ["query_id"], ["k"], bucket)
+    rows = free.join(named, "resource_id").select("query_id", "k", "start", "end", "times")
+    out = at_least(rows, F.col("k"), ["query_id"], ["k"], bucket, count="times")
     return out if min_duration is None else out.where(F.col("end") - F.col("start") >= min_duration)
 
 
@@ -101,17 +166,16 @@ def merged_availability(s: Schedule, ids: Sequence[str], k: int, start: int, end
 
 def utilisation(s: Schedule, start: int, end: int, limits: Limits = Limits()) -> DataFrame:
     """``(resource_id, open_ms, busy_ms)``: open, unblocked time of each resource, and its time with an allocation in it."""
-    rows = segments(swept(s, *checked_window(start, end, limits), limits=limits), STATE, ["resource_id"]).where("open > 0 and blocked = 0")
+    rows = pieces_of(state_of(s, *checked_window(start, end, limits), limits=limits), STATE, ["resource_id"]).where("open > 0 and blocked = 0")
     size = F.col("end") - F.col("start")
     return rows.groupBy("resource_id").agg(F.sum(size).alias("open_ms"), F.sum(F.when(F.col("active") > 0, size).otherwise(0)).alias("busy_ms"))
 
 
 def remaining_capacity(s: Schedule, start: int, end: int, limits: Limits = Limits()) -> DataFrame:
     """``(resource_id, start, end, remaining)``: how much of the capacity is left, segment by segment of open, unblocked time."""
-    rows = swept(s, *checked_window(start, end, limits), limits=limits)
+    rows = segments(state_of(s, *checked_window(start, end, limits), limits=limits), STATE, ["resource_id"]).where("open > 0 and blocked = 0")
     capacity = s.resources.select(F.col("id").alias("resource_id"), F.greatest("capacity", F.lit(1)).alias("capacity"))
-    rows = segments(rows.drop("capacity"), STATE, ["resource_id"]).where("open > 0 and blocked = 0").join(capacity, "resource_id")
-    return rows.select("resource_id", "start", "end", F.greatest(F.col("capacity") - F.col("active"), F.lit(0)).alias("remaining"))
+    return rows.join(capacity, "resource_id").select("resource_id", "start", "end", F.greatest(F.col("capacity") - F.col("active"), F.lit(0)).alias("remaining"))
 
 
 def free_units(free: DataFrame, resources: DataFrame, t: int) -> DataFrame:

@@ -1,9 +1,8 @@
 """Whether requested spans would collide with what is allocated, for many independent requests at once.
 
 A request on a resource is refused if, somewhere in its footprint ``[start, end + buffer)``, as many allocations as the capacity are
-active (each with its buffer). The most is reached at the footprint's start or at some allocation's start within it. Open
-hours and rules play no part. Requests and allocations meet in time buckets of their resource, so that a resource with a large
-share of all rows is divided over many tasks, and no pair is made of spans that lie in different buckets.
+active (each with its buffer). Open hours and rules play no part. Requests and allocations meet in time buckets of their resource, so
+that a resource with a large share of all rows is divided over many tasks, and no pair is made of spans that lie in different buckets.
 """
 
 from __future__ import annotations
@@ -11,26 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.functions.spans import buffer_error, is_live, overlaps, plus, span_error
-from slotloom.operators.availability import availability
-from slotloom.operators.sweep import running, subtract_intervals
+from slotloom.functions.spans import buffer_error, overlaps, plus, span_error
+from slotloom.functions.tables import kept
+from slotloom.operators.availability import allocated, availability_of
+from slotloom.operators.sweep import peaks, subtract_intervals
 from slotloom.schema import Limits, Schedule
 
 BUCKET = 86_400_000
+FEW, COARSE = 32, 256
+#: The last instant that buckets tell apart, some way beyond the last valid time.
+LAST = 1 << 45
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """All pairs of spans of ``a (resource_id, a_id, a_start, a_end)`` and ``b (resource_id, b_id, b_start, b_end)`` that share an instant, each once: in the bucket where the later of both starts."""
-    dealt = lambda rows, p: rows.where(f"{p}_start < {p}_end").withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bucket), F.floor((F.col(f"{p}_end") - 1) / bucket))))
-    pairs = dealt(a, "a").join(dealt(b, "b"), ["resource_id", "bucket"])
-    return pairs.where(overlaps("a_start", "a_end", "b_start", "b_end") & (F.floor(F.greatest("a_start", "b_start") / bucket) == F.col("bucket"))).drop("bucket")
+    """All pairs of spans of ``a (resource_id, a_id, a_start, a_end)`` and ``b (resource_id, b_id, b_start, b_end)`` that share an instant, each once: in the bucket where the later of both starts.
+
+    A span of more than ``FEW`` buckets is dealt to coarse ones, ``COARSE`` times as wide, and meets short spans there. What lies
+    before 0 or after ``LAST`` is dealt to the outermost buckets, so that a saturated end makes a thousand rows at most.
+    """
+
+    def at(t, size: int):
+        return F.floor(F.least(F.greatest(t, F.lit(0)), F.lit(LAST)) / F.lit(size)).cast("bigint")
+
+    def dealt(rows: DataFrame, p: str, other: str) -> DataFrame:
+        s, e = F.col(f"{p}_start"), F.col(f"{p}_end") - 1
+        wide = bucket * COARSE
+        cells = lambda grain, size: F.transform(F.sequence(at(s, size), at(e, size)), lambda x: F.struct(F.lit(grain).alias("grain"), x.alias("bucket")))
+        # grain 0: short with short; long: b is long; other: only a is long
+        long, fine = at(e, bucket) - at(s, bucket) >= FEW, cells("short", bucket)
+        both = F.concat(cells("b long", wide), cells("a long", wide)) if p == "a" else cells("b long", wide)
+        every = F.when(long, both).otherwise(F.concat(fine, cells(f"{other} long", wide)))
+        return rows.where(f"{p}_start < {p}_end").withColumn("cell", F.explode(every))
+
+    pairs = dealt(a, "a", "b").join(dealt(b, "b", "a"), ["resource_id", "cell"])
+    size = F.when(F.col("cell.grain") == "short", F.lit(bucket)).otherwise(F.lit(bucket * COARSE))
+    first = F.floor(F.least(F.greatest("a_start", "b_start", F.lit(0)), F.lit(LAST)) / size).cast("bigint")
+    return pairs.where(overlaps("a_start", "a_end", "b_start", "b_end") & (first == F.col("cell.bucket"))).drop("cell")
 
 
 def allocations(s: Schedule) -> DataFrame:
     """``(resource_id, b_id, b_start, b_end)``: bookings and live holds, with buffers."""
-    rows = s.bookings.select("id", "resource_id", "start", "end").unionByName(s.holds.where(is_live(s.now)).select("id", "resource_id", "start", "end"))
-    rows = rows.join(s.resources.select(F.col("id").alias("resource_id"), "buffer_after"), "resource_id")
-    return rows.select("resource_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), plus("end", F.coalesce("buffer_after", F.lit(0))).alias("b_end"))
+    return allocated(s).select("resource_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
 
 
 def what_if(s: Schedule, requests: DataFrame, limits: Limits = Limits(), bucket: int = BUCKET) -> DataFrame:
@@ -45,31 +65,25 @@ def what_if(s: Schedule, requests: DataFrame, limits: Limits = Limits(), bucket:
     rows = requests.select("id", "resource_id", "start", "end", ignored.alias("ignore_id")).join(of, "resource_id", "left").withColumn("fault", F.coalesce(span_error("start", "end", limits), F.when(F.col("known").isNull(), "NotFound")))
     foot = rows.where("fault is null").select("resource_id", F.col("id").alias("a_id"), "ignore_id", F.col("start").alias("a_start"), plus("end", "buffer").alias("a_end"))
     pairs = overlap_pairs(foot, allocations(s), bucket).where("ignore_id is null or ignore_id != b_id")
-    first = pairs.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("b_start", "b_id")).alias("first"))
-    # the number active at each allocation's start in the footprint: starts up to then, less ends up to then
-    plus_one = F.struct(F.greatest("a_start", "b_start").alias("t"), F.lit(1).alias("d"))
-    minus_one = F.struct(F.col("b_end").alias("t"), F.lit(-1).alias("d"))
-    points = pairs.select(F.col("a_id").alias("id"), F.explode(F.array(plus_one, minus_one)).alias("p")).select("id", "p.t", F.col("p.d").cast("bigint").alias("n"))
-    peaks = running(points, ["n"], ["id"]).groupBy("id").agg(F.max("a_n").alias("peak"))
-    out = rows.join(first, "id", "left").join(peaks, "id", "left").withColumn("peak", F.coalesce("peak", F.lit(0)))
+    pairs = kept(pairs.select(F.col("a_id").alias("id"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), "b_start", "b_id"), "pairs")
+    first = pairs.groupBy("id").agg(F.min(F.struct("b_start", "b_id")).alias("first"))
+    most = peaks(pairs.withColumn("end", F.greatest(F.least("end", F.lit(LAST)), F.col("start") + 1)), ["id"], bucket * COARSE)  # the most is reached at a start
+    out = rows.join(first, "id", "left").join(most, "id", "left").withColumn("peak", F.coalesce("peak", F.lit(0)))
     full = F.col("peak") >= F.greatest("capacity", F.lit(1))
     error = F.when(F.col("fault").isNotNull(), F.col("fault")).when(full & (F.col("capacity") <= 1), F.concat(F.lit("Conflict: "), F.col("first.b_id"))).when(full, F.concat(F.lit("CapacityExceeded: "), F.col("capacity")))
     return out.select("id", "resource_id", "peak", error.alias("error"))
 
 
-def uncovered_rules(s: Schedule, rules: DataFrame, start: int, end: int, limits: Limits = Limits()) -> DataFrame:
-    """The parts ``(id, resource_id, start, end)`` of open ``rules`` on resources with a parent that the parent's own free time does not cover.
+def uncovered_rules(s: Schedule, rules: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The parts ``(id, resource_id, start, end)`` of open ``rules (id, resource_id, start, end, blocking)`` on resources with a parent that the parent's own free time does not cover.
 
-    All rules must lie in ``[start, end)``; each is measured against the parent's free time in that window.
+    Each rule is measured against the parent's free time in the rule's own span: which ancestor the parent takes its open times from
+    is decided there. Ids of rules must differ.
     """
     parents = s.resources.where("parent_id is not null").select(F.col("id").alias("resource_id"), "parent_id")
-    free = availability(s, start, end, limits=limits).select(F.col("resource_id").alias("parent_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    asked = rules.where("not blocking").join(parents, "resource_id")
-    a = asked.select(F.col("parent_id").alias("resource_id"), F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    b = free.select(F.col("parent_id").alias("resource_id"), F.lit("").alias("b_id"), "b_start", "b_end")
-    covers = overlap_pairs(a, b).select(F.col("a_id").alias("id"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
-    rest = subtract_intervals(asked.select("id", "start", "end"), covers, ["id"])
-    return rest.join(rules.select("id", "resource_id"), "id").select("id", "resource_id", "start", "end")
+    asked = kept(rules.where("not blocking and start < end").select("id", "resource_id", "start", "end").join(parents, "resource_id"), "asked")
+    free = availability_of(s, asked.select(F.col("id").alias("query_id"), F.col("parent_id").alias("resource_id"), "start", "end"), limits).withColumnRenamed("query_id", "id")
+    return subtract_intervals(asked.select("id", "start", "end"), free, ["id"]).join(asked.select("id", "resource_id"), "id").select("id", "resource_id", "start", "end")
 
 
 def validated(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.schema import Limits
+from slotloom.functions.tables import SMALL, kept
+from slotloom.schema import Limits, ScheduleError
 
 
 def closure(resources: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``(id, ancestor_id, depth)``, each resource being its own ancestor at depth 0.
+    """``(id, ancestor_id, depth)``, each resource being its own ancestor at depth 0, up to one level beyond the limit.
 
-    One join for each level of the tree, up to one beyond the limit; a parent that does not exist is listed as an ancestor but
-    leads no further. Ids and parents, which every level reads, are kept in memory or on disk. Every tenth level the frontier is checkpointed where a checkpoint folder is set, to keep the lineage short.
+    The links known so far reach ``2^k`` levels up; joined with those of their farthest ancestors they reach twice as far, so that a tree of
+    50 levels takes six rounds, each written once. A parent that does not exist is listed as an ancestor but leads no further.
     """
-    resources = resources.select("id", "parent_id").persist()
-    parents = resources.where("parent_id is not null").select(F.col("id").alias("child"), "parent_id")
-    out = frontier = resources.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    for depth in range(1, limits.depth + 2):
-        frontier = frontier.join(parents, frontier["ancestor_id"] == parents["child"]).select("id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        if depth % 10 == 0 and resources.sparkSession.conf.get("spark.checkpoint.dir", None):
-            frontier = frontier.checkpoint()
-        if frontier.isEmpty():
+    own = kept(resources.select("id", "parent_id"), "tree")
+    inner = own.where("parent_id is not null").select(F.col("parent_id").alias("via")).distinct()
+    few = inner.limit(SMALL + 1).count() <= SMALL // limits.depth
+    out = own.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).unionByName(own.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
+    reach = 1
+    while (most := limits.depth + 1 - reach) > 0:
+        far = out.where(F.col("depth") == reach).select("id", F.col("ancestor_id").alias("via"))
+        # only what is somebody's parent can lead on, and it has a row for each level at most
+        above = out.where(f"depth > 0 and depth <= {most}").select(F.col("id").alias("via"), "ancestor_id", "depth").join(inner, "via", "left_semi")
+        links = kept(far.join(F.broadcast(above) if few else above, "via").select("id", "ancestor_id", (F.col("depth") + reach).alias("depth")), "links")
+        if links.isEmpty():
             break
-        out = out.unionByName(frontier)
+        out = out.unionByName(links)
+        reach *= 2
     return out
 
 
@@ -35,6 +40,19 @@ def tree_errors(resources: DataFrame, tree: DataFrame, limits: Limits = Limits()
     return seen.unionByName(deep).unionByName(lost).groupBy("id").agg(F.min_by("error", "o").alias("error"))
 
 
+def checked_tree(resources: DataFrame, ids: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """The closure (of ``ids``). What ``tree_errors`` finds in it is raised, the first by id."""
+    tree = closure(resources, limits)
+    if ids is not None:
+        tree = tree.where(F.col("id").isin(ids))
+    known = tree.where("depth = 0").select(F.col("id").alias("ancestor_id")) if ids is None else resources.select(F.col("id").alias("ancestor_id"))
+    # a circle is also too deep, so that these two conditions find all faults
+    if not tree.where(F.col("depth") > limits.depth).limit(1).unionByName(tree.join(known, "ancestor_id", "left_anti").limit(1)).isEmpty():
+        bad = tree_errors(resources, tree, limits).orderBy("id").first()
+        raise ScheduleError(bad["error"], bad["id"])
+    return tree
+
+
 def depths(tree: DataFrame) -> DataFrame:
     """``(id, depth)``: how many ancestors each resource has."""
     return tree.groupBy("id").agg(F.max("depth").alias("depth"))

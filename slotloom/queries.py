@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.functions import spans
-from slotloom.operators import admission, availability as av, conflict, hierarchy, listings, sweep
-from slotloom.schema import Schedule
+from slotloom.operators import admission, availability as av, conflict, hierarchy, listings, mutations, sweep
+from slotloom.schema import Limits, Schedule
 from slotloom.sources import events as ev, fixtures as fx
+from slotloom.streaming import feed
 
 USER, TEAM = "00000000000000000000100005", "00000000000000000000001000"
 SOME = [f"{100_000 + i:026d}" for i in (1, 2, 3, 5, 8, 13, 999_999, 1)]
@@ -72,6 +73,34 @@ free AS (SELECT resource_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE W
 """
 
 
+def free_each_sql(asked: str) -> str:
+    """As ``free_sql``, for each row of ``asked (q, rid, s, e)`` in a window of its own."""
+    return f"""
+near AS (SELECT x.q, t.depth, greatest(r.s, x.s) AS s, least(r.e, x.e) AS e, r.blocking FROM {asked} x JOIN tree t ON t.id = x.rid JOIN rules r ON r.resource_id = t.ancestor_id WHERE r.s < x.e AND r.e > x.s),
+opens AS (SELECT n.* FROM near n JOIN (SELECT q, min(depth) AS d FROM near WHERE NOT blocking GROUP BY ALL) m ON m.q = n.q AND m.d = n.depth WHERE NOT n.blocking),
+allocs AS (SELECT x.q, greatest(a.s, x.s) AS s, least(a.e + coalesce(r.buffer_after, 0), x.e) AS e FROM {asked} x JOIN resources r ON r.id = x.rid JOIN (SELECT resource_id, s, e FROM bookings UNION ALL SELECT resource_id, s, e FROM live) a ON a.resource_id = x.rid WHERE a.s < x.e AND a.e + coalesce(r.buffer_after, 0) > x.s),
+cuts AS (SELECT DISTINCT q, t FROM (SELECT q, unnest([s, e]) AS t FROM near UNION ALL SELECT q, unnest([s, e]) FROM allocs)),
+segs AS (SELECT q, t AS s, lead(t) OVER (PARTITION BY q ORDER BY t) AS e FROM cuts),
+state AS (SELECT g.q, g.s, g.e, greatest(r.capacity, 1) AS capacity,
+  (SELECT count(*) FROM opens o WHERE o.q = g.q AND o.s <= g.s AND o.e >= g.e) AS n_open,
+  (SELECT count(*) FROM near b WHERE b.blocking AND b.q = g.q AND b.s <= g.s AND b.e >= g.e) AS n_blocked,
+  (SELECT count(*) FROM allocs a WHERE a.q = g.q AND a.s <= g.s AND a.e >= g.e) AS n_active
+  FROM segs g JOIN {asked} x ON x.q = g.q JOIN resources r ON r.id = x.rid WHERE g.e IS NOT NULL),
+pieces AS (SELECT q, s, e, lag(e) OVER (PARTITION BY q ORDER BY s) AS before FROM state WHERE n_open > 0 AND n_blocked = 0 AND n_active < capacity),
+free AS (SELECT q, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN before = s THEN 0 ELSE 1 END) OVER (PARTITION BY q ORDER BY s) AS g FROM pieces) GROUP BY q, g)
+"""
+
+
+def uncovered_sql(asked: str) -> str:
+    """``gaps (id, s, e)`` of open rules ``asked (id, resource_id, s, e)``: what the parent's free time in the rule's own span leaves open."""
+    return f"""
+inner_ AS (SELECT a.id AS q, r.parent_id AS rid, a.s, a.e FROM {asked} a JOIN resources r ON r.id = a.resource_id WHERE r.parent_id IS NOT NULL),
+{free_each_sql('inner_')},
+inside AS (SELECT q, s, e, lag(e) OVER (PARTITION BY q ORDER BY s) AS before FROM free),
+gaps AS (SELECT * FROM (SELECT i.q AS id, coalesce(i.before, x.s) AS s, i.s AS e FROM inside i JOIN inner_ x ON x.q = i.q UNION ALL SELECT i.q, max(i.e), x.e FROM inside i JOIN inner_ x ON x.q = i.q GROUP BY i.q, x.e UNION ALL SELECT q, s, e FROM inner_ WHERE q NOT IN (SELECT q FROM free)) WHERE s < e)
+"""
+
+
 A_FREE = f"WITH RECURSIVE {A_SQL}, {TREE_SQL}, {free_sql(fx.A_START, fx.A_END)}"
 B_FREE = f"WITH RECURSIVE {B_SQL}, {TREE_SQL}, {free_sql(fx.B_START, fx.B_END)}"
 FREE = 'SELECT resource_id, s AS start, e AS "end" FROM free'
@@ -340,24 +369,42 @@ def _(spark, d):
 
 @query("validated_requests", f"WITH {A_SQL} SELECT id, CASE WHEN e - s > 3000000 THEN 'LimitExceeded: span too wide' END AS error FROM requests")
 def _(spark, d):
-    from slotloom.schema import Limits
-
     return conflict.validated(fx.candidates_a(spark, d), Limits(span_ms=3_000_000)).select("id", "error")
 
 
-@query("rule_coverage", f"""{A_FREE}, asked AS (SELECT r.id, r.resource_id, q.parent_id, r.s, r.e FROM rules r JOIN resources q ON q.id = r.resource_id WHERE NOT r.blocking AND q.parent_id IS NOT NULL AND r.s >= {fx.A_START} AND r.e <= {fx.A_END}),
-inside AS (SELECT a.id, a.resource_id, a.s AS rs, a.e AS re, greatest(a.s, f.s) AS s, least(a.e, f.e) AS e FROM asked a JOIN free f ON f.resource_id = a.parent_id AND f.s < a.e AND a.s < f.e),
-gaps AS (SELECT id, resource_id, coalesce(lag(e) OVER w, rs) AS s, s AS e FROM inside WINDOW w AS (PARTITION BY id ORDER BY s) UNION ALL SELECT id, resource_id, max(e), max(re) FROM inside GROUP BY id, resource_id UNION ALL SELECT id, resource_id, s, e FROM asked WHERE id NOT IN (SELECT id FROM inside))
-SELECT id, resource_id, s AS start, e AS "end" FROM gaps WHERE s < e""")
+@query("rule_coverage", f"""WITH RECURSIVE {A_SQL}, {TREE_SQL}, asked AS (SELECT id, resource_id, s, e FROM rules WHERE NOT blocking), {uncovered_sql('asked')}
+SELECT g.id, a.resource_id, g.s AS start, g.e AS "end" FROM gaps g JOIN asked a ON a.id = g.id""")
 def _(spark, d):
+    """Every open rule against its parent's free time in the rule's own span."""
     s = a(spark, d)
-    rules = s.rules.where((F.col("start") >= fx.A_START) & (F.col("end") <= fx.A_END))
-    return conflict.uncovered_rules(s, rules, fx.A_START, fx.A_END)
+    return conflict.uncovered_rules(s, s.rules)
 
 
-@query("admission")
+@query("availability_each", f"WITH RECURSIVE {A_SQL}, {TREE_SQL}, req AS (SELECT id AS q, resource_id AS rid, s - 10800000 AS s, e + 10800000 AS e FROM requests), {free_each_sql('req')} SELECT q AS query_id, s AS start, e AS \"end\" FROM free")
 def _(spark, d):
-    """Requests in the order of their ids, each after those before it. The order is the meaning, so tests compare it with a plain loop."""
+    """Free time around every requested span, each in a window of its own."""
+    asked = fx.candidates_a(spark, d).select(F.col("id").alias("query_id"), "resource_id", (F.col("start") - 10_800_000).alias("start"), (F.col("end") + 10_800_000).alias("end"))
+    return av.availability_of(a(spark, d), asked)
+
+
+def admitted_sql(requests: str) -> str:
+    """``step (id, admitted, error, ...)``: requests ``(id, resource_id, s, e, ghost)`` in the order of their ids, one after another in each resource."""
+    return f"""
+allocs AS (SELECT a.id, a.resource_id, a.s, a.e + coalesce(r.buffer_after, 0) AS e FROM (SELECT id, resource_id, s, e FROM bookings UNION ALL SELECT id, resource_id, s, e FROM live) a JOIN resources r ON r.id = a.resource_id),
+line AS (SELECT q.id, q.resource_id, q.s, q.e + coalesce(r.buffer_after, 0) AS e, q.ghost, r.capacity, row_number() OVER (PARTITION BY q.resource_id ORDER BY q.id) AS n FROM {requests} q JOIN resources r ON r.id = q.resource_id),
+base AS (SELECT resource_id, list({{'s': s, 'id': id, 'e': e}}) AS held FROM allocs GROUP BY resource_id),
+step AS (
+  SELECT l.resource_id, 0::BIGINT AS n, coalesce(b.held, []) AS held, NULL::VARCHAR AS id, NULL::BOOLEAN AS admitted, NULL::VARCHAR AS error FROM (SELECT DISTINCT resource_id FROM line) l LEFT JOIN base b ON b.resource_id = l.resource_id
+  UNION ALL
+  SELECT resource_id, n, CASE WHEN peak >= greatest(capacity, 1) OR ghost THEN held ELSE list_append(held, {{'s': s, 'id': id, 'e': e}}) END, id, peak < greatest(capacity, 1), CASE WHEN peak >= greatest(capacity, 1) THEN CASE WHEN capacity <= 1 THEN 'Conflict: ' || list_sort(met)[1].id ELSE 'CapacityExceeded: ' || capacity END END
+  FROM (SELECT *, list_max(list_transform(list_append(list_transform(met, lambda x: greatest(x.s, s)), s), lambda t: len(list_filter(met, lambda y: y.s <= t AND y.e > t)))) AS peak
+    FROM (SELECT l.*, p.held, list_filter(p.held, lambda x: x.s < l.e AND x.e > l.s) AS met FROM step p JOIN line l ON l.resource_id = p.resource_id AND l.n = p.n + 1)))
+"""
+
+
+@query("admission", f"WITH RECURSIVE {A_SQL}, asked AS (SELECT *, FALSE AS ghost FROM requests), {admitted_sql('asked')} SELECT id, admitted, error FROM step WHERE n > 0")
+def _(spark, d):
+    """Requests in the order of their ids, each after those before it."""
     return admission.admit(a(spark, d), fx.candidates_a(spark, d).withColumn("seq", F.col("id").cast("bigint")))
 
 
@@ -384,6 +431,153 @@ def _(spark, d):
     return admission.commit_holds(s, s.holds.select(F.concat(F.lit("c"), "id").alias("id"), F.col("id").alias("hold_id"), F.lit("x").alias("label")))
 
 
+# ---------------------------------------------------------------- changes
+
+
+@query("place_holds", f"WITH RECURSIVE {A_SQL}, asked AS (SELECT *, CAST(id AS BIGINT) % 3 = 0 AS ghost FROM requests), {admitted_sql('asked')} SELECT id, admitted, error FROM step WHERE n > 0")
+def _(spark, d):
+    """Holds in the order of their ids; a third has expired when it is placed and stands in nobody's way."""
+    n = F.col("id").cast("bigint")
+    return admission.admit(a(spark, d), fx.candidates_a(spark, d).withColumns({"seq": n, "expires_at": F.when(n % 3 == 0, fx.A_NOW).otherwise(fx.A_NOW + 1)}))
+
+
+NEW = """
+asked AS (SELECT c_custkey AS seq, lpad(CAST(CASE WHEN c_custkey % 7 = 0 THEN 100000 + c_custkey WHEN c_custkey % 3 = 0 THEN 599999 + c_custkey ELSE 600000 + c_custkey END AS VARCHAR), 26, '0') AS id,
+  CASE c_custkey % 6 WHEN 1 THEN lpad('1', 26, '0') WHEN 2 THEN lpad(CAST(1000 + c_custkey % 20 AS VARCHAR), 26, '0') WHEN 3 THEN lpad(CAST(599995 + c_custkey AS VARCHAR), 26, '0') WHEN 4 THEN lpad(CAST(600002 + c_custkey AS VARCHAR), 26, '0')
+    WHEN 5 THEN lpad(CAST(CASE WHEN c_custkey % 7 = 0 THEN 100000 + c_custkey WHEN c_custkey % 3 = 0 THEN 599999 + c_custkey ELSE 600000 + c_custkey END AS VARCHAR), 26, '0') END AS parent_id,
+  CASE WHEN c_custkey % 50 = 0 THEN repeat('x', 1001) ELSE 'r' END AS name, CASE WHEN c_custkey % 40 = 1 THEN -5 ELSE 1000 END AS buffer_after FROM customer)"""
+
+
+@query("create_resources", f"""WITH RECURSIVE {A_SQL}, {TREE_SQL}, {NEW}, line AS (SELECT a.*, row_number() OVER (ORDER BY seq) AS n, o.d AS own, p.d AS above FROM asked a LEFT JOIN (SELECT id, max(depth) AS d FROM tree GROUP BY id) o ON o.id = a.id LEFT JOIN (SELECT id, max(depth) AS d FROM tree GROUP BY id) p ON p.id = a.parent_id),
+step AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS id, NULL::VARCHAR AS error, []::VARCHAR[] AS made, (SELECT count(*) FROM resources) AS total
+  UNION ALL
+  SELECT n, seq, id, error, CASE WHEN error IS NULL THEN list_append(made, id) ELSE made END, total + CASE WHEN error IS NULL THEN 1 ELSE 0 END
+  FROM (SELECT l.n, l.seq, l.id, p.made, p.total, CASE WHEN p.total >= 600 THEN 'LimitExceeded: too many resources' WHEN l.buffer_after < 0 THEN 'LimitExceeded: buffer out of range' WHEN length(l.name) > 1000 THEN 'LimitExceeded: resource name too long'
+      WHEN l.own IS NOT NULL OR list_contains(p.made, l.id) THEN 'AlreadyExists' WHEN l.parent_id = l.id THEN 'CycleDetected' WHEN l.parent_id IS NOT NULL AND l.above IS NULL AND NOT list_contains(p.made, l.parent_id) THEN 'NotFound' END AS error
+    FROM step p JOIN line l ON l.n = p.n + 1))
+SELECT seq, id, error FROM step WHERE n > 0""")
+def _(spark, d):
+    """New resources, some of them below others of the same requests, repeated, or with faults; there is room for 600 in all."""
+    n = F.col("seq")
+    own = F.when(n % 7 == 0, n + 100_000).when(n % 3 == 0, n + 599_999).otherwise(n + 600_000)
+    parent = F.when(n % 6 == 1, F.lit(1)).when(n % 6 == 2, n % 20 + 1000).when(n % 6 == 3, n + 599_995).when(n % 6 == 4, n + 600_002).when(n % 6 == 5, own)
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("seq"))
+    asked = asked.select("seq", fx.ident(own).alias("id"), fx.ident(parent).alias("parent_id"), F.when(n % 50 == 0, F.repeat(F.lit("x"), 1001)).otherwise("r").alias("name"), F.lit(1).cast("bigint").alias("capacity"), F.when(n % 40 == 1, -5).otherwise(1000).cast("bigint").alias("buffer_after"))
+    return mutations.create_resources(a(spark, d), asked, Limits(resources=600))
+
+
+@query("update_resources", f"WITH {A_SQL} SELECT c_custkey AS seq, lpad(CAST(100000 + c_custkey AS VARCHAR), 26, '0') AS id, CASE WHEN c_custkey % 4 = 1 AND c_custkey % 9 = 0 THEN 'LimitExceeded: buffer out of range' WHEN 100000 + c_custkey NOT IN (SELECT CAST(id AS BIGINT) FROM resources) THEN 'NotFound' END AS error FROM customer")
+def _(spark, d):
+    """Partial updates: of a wrong buffer only those that set it are refused."""
+    n = F.col("seq")
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("seq"))
+    asked = asked.select("seq", fx.ident(n + 100_000).alias("id"), (n % 3 == 0).alias("set_name"), F.lit("new").alias("name"), F.lit(True).alias("set_capacity"), F.lit(2).cast("bigint").alias("capacity"), (n % 4 == 1).alias("set_buffer"), F.when(n % 9 == 0, -1).otherwise(5).cast("bigint").alias("buffer_after"))
+    return mutations.update_resources(a(spark, d), asked)
+
+
+@query("delete_resources", f"""WITH {B_SQL}, sup AS (SELECT id, parent_id, CAST(id AS BIGINT) - 10000 AS k FROM resources WHERE CAST(id AS BIGINT) > 10000), nat AS (SELECT id, parent_id, CAST(id AS BIGINT) - 100 AS k FROM resources WHERE CAST(id AS BIGINT) BETWEEN 100 AND 10000), reg AS (SELECT id, CAST(id AS BIGINT) AS k FROM resources WHERE CAST(id AS BIGINT) < 100),
+asked AS (SELECT k * 10 AS seq, id FROM sup WHERE CAST(parent_id AS BIGINT) % 3 <> 0 UNION ALL SELECT k * 10 + 5, id FROM sup WHERE k % 2 = 0 AND CAST(parent_id AS BIGINT) % 3 <> 0 UNION ALL SELECT 20 + k, id FROM nat UNION ALL SELECT 100000000 + k, id FROM nat UNION ALL SELECT 200000000 + k, id FROM reg UNION ALL SELECT 300000000, lpad('7', 26, '9')),
+g1 AS (SELECT s.id, s.parent_id, min(a.seq) AS gone FROM sup s LEFT JOIN asked a ON a.id = s.id GROUP BY ALL),
+n1 AS (SELECT n.id, n.parent_id, count(s.id) > count(s.gone) AS stuck, max(s.gone) AS after FROM nat n LEFT JOIN g1 s ON s.parent_id = n.id GROUP BY ALL),
+g2 AS (SELECT n.id, n.parent_id, min(a.seq) AS gone FROM n1 n LEFT JOIN asked a ON a.id = n.id AND NOT n.stuck AND a.seq > coalesce(n.after, -1) GROUP BY ALL),
+r1 AS (SELECT r.id, count(n.id) > count(n.gone) AS stuck, max(n.gone) AS after FROM reg r LEFT JOIN g2 n ON n.parent_id = r.id GROUP BY ALL),
+g3 AS (SELECT r.id, min(a.seq) AS gone FROM r1 r LEFT JOIN asked a ON a.id = r.id AND NOT r.stuck AND a.seq > coalesce(r.after, -1) GROUP BY ALL),
+gone AS (SELECT id, gone FROM g1 UNION ALL SELECT id, gone FROM g2 UNION ALL SELECT id, gone FROM g3)
+SELECT a.seq, a.id, CASE WHEN g.id IS NULL OR g.gone < a.seq THEN 'NotFound' WHEN g.gone IS NULL OR g.gone > a.seq THEN 'HasChildren' END AS error FROM asked a LEFT JOIN gone g ON g.id = a.id""")
+def _(spark, d):
+    """Suppliers of some nations, then nations, then regions; each nation is also asked for early, and some suppliers twice."""
+    s, k = fx.dispatch(spark, d), F.col("id").cast("bigint")
+    sup = s.resources.where(k > 10_000).where(F.col("parent_id").cast("bigint") % 3 != 0)
+    nat, reg = s.resources.where(k.between(100, 10_000)), s.resources.where(k < 100)
+    parts = [sup.select(((k - 10_000) * 10).alias("seq"), "id"), sup.where(k % 2 == 0).select(((k - 10_000) * 10 + 5).alias("seq"), "id"), nat.select((k - 80).alias("seq"), "id"), nat.select((k + 99_999_900).alias("seq"), "id"), reg.select((k + 200_000_000).alias("seq"), "id")]
+    asked = spark.range(1).select(F.lit(300_000_000).cast("bigint").alias("seq"), F.lit("9" * 25 + "7").alias("id"))
+    for part in parts:
+        asked = asked.unionByName(part)
+    return mutations.delete_resources(s, asked)
+
+
+RULES_ASKED = "asked AS (SELECT event_id AS seq, lpad(CAST(30000000000 + event_id AS VARCHAR), 26, '0') AS id, CASE WHEN event_id % 60 = 11 THEN lpad('999', 26, '0') WHEN event_id % 4 = 0 THEN lpad(CAST(1000 + t AS VARCHAR), 26, '0') ELSE rid END AS resource_id, ms AS s, CASE WHEN event_id % 50 = 7 THEN ms ELSE ms + CAST(1 + floor(value) AS BIGINT) * 600000 END AS e, event_id % 3 = 0 AS blocking FROM ev WHERE event_type = 'signup')"
+
+
+@query("add_rules", f"""WITH RECURSIVE {A_SQL}, {TREE_SQL}, {RULES_ASKED}, good AS (SELECT a.* FROM asked a JOIN resources r ON r.id = a.resource_id WHERE a.s < a.e), opening AS (SELECT * FROM good WHERE NOT blocking), {uncovered_sql('opening')},
+have AS (SELECT resource_id, count(*) AS n FROM (SELECT resource_id FROM rules UNION ALL SELECT resource_id FROM holds UNION ALL SELECT resource_id FROM bookings) GROUP BY ALL),
+ok AS (SELECT g.seq, g.id, coalesce(h.n, 0) + row_number() OVER (PARTITION BY g.resource_id ORDER BY g.seq) - 1 AS before FROM good g LEFT JOIN have h ON h.resource_id = g.resource_id WHERE g.id NOT IN (SELECT id FROM gaps))
+SELECT a.seq, a.id, CASE WHEN a.s >= a.e THEN 'InvalidSpan' WHEN g.id IS NULL THEN 'NotFound' WHEN a.id IN (SELECT id FROM gaps) THEN 'NotCoveredByParent' WHEN k.before >= 45 THEN 'LimitExceeded: too many intervals on resource' END AS error FROM asked a LEFT JOIN good g ON g.id = a.id LEFT JOIN ok k ON k.id = a.id""")
+def _(spark, d):
+    """New rules of users and teams, open and blocking, with at most 45 intervals on a resource."""
+    n = F.col("event_id")
+    rows = fx.events_a(spark, d).where("event_type = 'signup'")
+    to = F.when(n % 60 == 11, fx.ident(999)).when(n % 4 == 0, fx.ident(F.floor(F.col("user_id") / 10) + 1000)).otherwise(F.col("resource_id"))
+    end = F.when(n % 50 == 7, F.col("start")).otherwise(F.col("start") + (F.floor("value") + 1) * 600_000)
+    asked = rows.select(n.cast("bigint").alias("seq"), fx.ident(n + 30_000_000_000).alias("id"), to.alias("resource_id"), "start", end.alias("end"), (n % 3 == 0).alias("blocking"))
+    return mutations.add_rules(a(spark, d), asked, Limits(intervals=45))
+
+
+@query("update_rules", f"""WITH RECURSIVE {A_SQL}, {TREE_SQL}, every AS (SELECT id, resource_id, s, e, TRUE AS is_rule FROM rules UNION ALL SELECT id, resource_id, s, e, FALSE FROM bookings),
+line AS (SELECT CAST(id AS BIGINT) AS seq, id, resource_id, s + 3600000 AS s, e + 3600000 AS e, CAST(id AS BIGINT) % 2 = 0 AS blocking, is_rule FROM every WHERE CAST(id AS BIGINT) % 3 <> 0 UNION ALL SELECT 7, lpad('7', 26, '9'), NULL, 1, 2, FALSE, NULL), opening AS (SELECT id, resource_id, s, e FROM line WHERE NOT blocking AND resource_id IS NOT NULL), {uncovered_sql('opening')}
+SELECT seq, id, resource_id, CASE WHEN resource_id IS NULL THEN 'NotFound' WHEN id IN (SELECT id FROM gaps) THEN 'NotCoveredByParent' WHEN NOT is_rule THEN 'NotFound' END AS error FROM line""")
+def _(spark, d):
+    """Rules, and bookings taken for rules, moved by an hour."""
+    s, n = a(spark, d), F.col("id").cast("bigint")
+    rows = s.rules.select("id", "start", "end").unionByName(s.bookings.select("id", "start", "end")).where(n % 3 != 0)
+    asked = rows.select(n.alias("seq"), "id", (F.col("start") + 3_600_000).alias("start"), (F.col("end") + 3_600_000).alias("end"), (n % 2 == 0).alias("blocking"))
+    one = spark.range(1).select(F.lit(7).cast("bigint").alias("seq"), F.lit("9" * 25 + "7").alias("id"), F.lit(1).cast("bigint").alias("start"), F.lit(2).cast("bigint").alias("end"), F.lit(False).alias("blocking"))
+    return mutations.update_rules(s, asked.unionByName(one))
+
+
+def _removed(kind: str, table: str) -> None:
+    sql = f"""WITH {A_SQL}, every AS (SELECT id, resource_id, 'rule' AS kind FROM rules UNION ALL SELECT id, resource_id, 'hold' FROM holds UNION ALL SELECT id, resource_id, 'booking' FROM bookings),
+asked AS (SELECT CAST(id AS BIGINT) AS seq, id FROM every WHERE CAST(id AS BIGINT) % 4 = 1 UNION ALL SELECT CAST(id AS BIGINT) + 50000000000, id FROM every WHERE CAST(id AS BIGINT) % 8 = 1)
+SELECT a.seq, a.id, e.resource_id, CASE WHEN e.kind <> '{kind}' OR a.seq > CAST(a.id AS BIGINT) THEN 'NotFound' END AS error FROM asked a JOIN every e ON e.id = a.id"""
+
+    @query(f"remove_{table}", sql)
+    def _(spark, d):
+        """Intervals of every kind, some of them twice."""
+        s, n = a(spark, d), F.col("id").cast("bigint")
+        ids = s.intervals().select("id").where(n % 4 == 1)
+        return mutations.remove(s, ids.select(n.alias("seq"), "id").unionByName(ids.where(n % 8 == 1).select((n + 50_000_000_000).alias("seq"), "id")), kind)
+
+
+for _kind, _table in (("rule", "rules"), ("hold", "holds"), ("booking", "bookings")):
+    _removed(_kind, _table)
+
+
+@query("change_events", f"""WITH {A_SQL} SELECT CAST(id AS BIGINT) + 5 AS seq, 'BookingCancelled' AS type, id, resource_id FROM bookings WHERE CAST(id AS BIGINT) % 4 = 1""")
+def _(spark, d):
+    """From requests to what enters the log."""
+    s, n = a(spark, d), F.col("id").cast("bigint")
+    asked = s.intervals().select("id").where(n % 4 == 1).select(n.alias("seq"), "id")
+    return mutations.events_of("remove_booking", asked, mutations.remove(s, asked, "booking"), 5).select("seq", "type", "id", "resource_id")
+
+
+@query("entity_lookup", f"WITH {A_SQL} SELECT id, resource_id, TRUE AS is_rule, FALSE AS is_hold, FALSE AS is_booking FROM rules WHERE CAST(id AS BIGINT) % 5 = 2 UNION ALL SELECT id, resource_id, FALSE, TRUE, FALSE FROM holds WHERE CAST(id AS BIGINT) % 5 = 2 UNION ALL SELECT id, resource_id, FALSE, FALSE, TRUE FROM bookings WHERE CAST(id AS BIGINT) % 5 = 2")
+def _(spark, d):
+    s = a(spark, d)
+    return mutations.entities(s, s.intervals().select("id").where("cast(id as bigint) % 5 = 2"))
+
+
+@query("long_stays", f"{B_FREE} {FREE} WHERE e - s >= 172800000")
+def _(spark, d):
+    """Two nights or more in one unit of a supplier, which its capacity makes possible while others come and go."""
+    return av.availability(fx.dispatch(spark, d), fx.B_START, fx.B_END, min_duration=172_800_000)
+
+
+@query("availability_clamped", f"WITH RECURSIVE {A_SQL}, {TREE_SQL}, {free_sql(0, 32_503_680_000_000)} {FREE}")
+def _(spark, d):
+    """A window beyond all times on both sides is cut to the times there are."""
+    return av.availability(a(spark, d), -5, 1 << 60, limits=Limits(window_ms=None))
+
+
+@query("scalar_values", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN NULL WHEN event_id % 4 = 2 THEN event_id END AS small, CASE WHEN event_id % 5 <> 0 THEN 'a-b_' || event_id END AS tenant, event_id % 4 < 2 AS rule, event_id % 4 > 1 AS allocation FROM events")
+def _(spark, d):
+    n = F.col("event_id")
+    number = F.when(n % 4 == 0, F.lit("4294967296")).when(n % 4 == 1, F.concat(F.lit("-"), n + 1)).when(n % 4 == 2, F.concat(F.lit(" "), n))
+    name = F.when(n % 5 == 0, F.lit("!. ")).otherwise(F.concat(F.lit("a-b_ !"), n))
+    kind = F.element_at(F.array(*map(F.lit, ["open", "blocked", "hold", "booking"])), (n % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", spans.parse_u32(number).alias("small"), spans.tenant_name(name).alias("tenant"), spans.is_rule(kind).alias("rule"), spans.is_allocation(kind).alias("allocation"))
+
+
 # ---------------------------------------------------------------- the log
 
 
@@ -393,7 +587,7 @@ def sample_log(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("id").cast("bigint")
     user, made = n >= 100_000, s.resources
     rank = F.when(n == 1, 1).when(n < 100_000, n).otherwise(n)
-    event = ev._event
+    event = ev.event
     log = event("ResourceCreated", made, rank)
     log = log.unionByName(event("RuleAdded", s.rules, n + 10**9)).unionByName(event("HoldPlaced", s.holds, n + 10**9)).unionByName(event("BookingConfirmed", s.bookings, n + 10**9))
     later = 10**11
@@ -435,7 +629,7 @@ def _(spark, d):
     """An event whose span is none ends what is replayed."""
     bookings = a(spark, d).bookings
     n = F.col("id").cast("bigint")
-    log = ev._event("BookingConfirmed", bookings, n * 2, end=F.when(n >= 10_000_000_500, F.col("start")).otherwise(F.col("end")))
+    log = ev.event("BookingConfirmed", bookings, n * 2, end=F.when(n >= 10_000_000_500, F.col("start")).otherwise(F.col("end")))
     return ev.valid_prefix(log).select("id", "start")
 
 
@@ -447,4 +641,18 @@ def _(spark, d):
 @query("event_bubbling", f"""WITH RECURSIVE {A_SQL}, {TREE_SQL} SELECT 'resource_' || t.ancestor_id AS channel, '{{"BookingConfirmed":{{"id":"' || b.id || '","resource_id":"' || b.resource_id || '","span":{{"start":' || b.s || ',"end":' || b.e || '}},"label":' || CASE WHEN b.label IS NULL THEN 'null' ELSE '"' || replace(b.label, '"', '\\"') || '"' END || '}}}}' AS payload FROM bookings b JOIN tree t ON t.id = b.resource_id""")
 def _(spark, d):
     s = a(spark, d)
-    return ev.bubbled(ev._event("BookingConfirmed", s.bookings, F.col("id").cast("bigint")), hierarchy.closure(s.resources)).select("channel", "payload")
+    return ev.bubbled(ev.event("BookingConfirmed", s.bookings, F.col("id").cast("bigint")), hierarchy.closure(s.resources)).select("channel", "payload")
+
+
+@query("expired_holds", f"{FOLDED} SELECT i.id, i.resource_id, h.expires_at FROM every i JOIN there t ON t.id = i.resource_id JOIN holds h ON h.id = i.id WHERE i.kind = 'hold' AND h.expires_at <= {fx.A_NOW}")
+def _(spark, d):
+    """What the stream of expiring holds tells, from the whole log."""
+    return feed.expired_holds(sample_log(spark, d), fx.A_NOW)
+
+
+@query("change_feed", ORACLE_SQL["event_bubbling"] + f" WHERE t.ancestor_id IN ('{TEAM}', '{USER}')")
+def _(spark, d):
+    """The channels of one team and one user, who may be in it."""
+    s = a(spark, d)
+    events = ev.event("BookingConfirmed", s.bookings, F.col("id").cast("bigint"))
+    return feed.change_feed(events, hierarchy.closure(s.resources), [TEAM, USER]).select("channel", "payload")

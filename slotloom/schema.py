@@ -19,6 +19,7 @@ EVENTS = (
     "seq bigint, type string, id string, resource_id string, parent_id string, set_name boolean, name string, set_capacity boolean, capacity bigint,"
     " set_buffer boolean, buffer_after bigint, start bigint, end bigint, blocking boolean, expires_at bigint, label string"
 )
+#: The types of events.
 EVENT_TYPES = ["ResourceCreated", "ResourceUpdated", "ResourceDeleted", "RuleAdded", "RuleUpdated", "RuleRemoved", "HoldPlaced", "HoldReleased", "BookingConfirmed", "BookingCancelled"]
 
 
@@ -38,6 +39,7 @@ class Limits:
     name_bytes: int = 1000
     label_bytes: int = 10_000
     tenant_bytes: int = 256
+    followed: int = 100
 
 
 class ScheduleError(ValueError):

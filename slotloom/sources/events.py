@@ -2,35 +2,92 @@
 
 The fold is a handful of aggregations by id with partial sums, so that an id with a large share of all events is no task of its own.
 A resource lives from its last creation on, if no deletion follows; an interval from its last addition on, if no removal follows and
-that addition lies in its resource's life. Events for what does not exist count for nothing. A repeated id of an interval replaces it.
+that addition lies in its resource's life. An update of a rule adds it where it is not there. Events for resources that do not exist count
+for nothing. A repeated id of an interval replaces it.
+
+A log is a folder of batches. A batch is written aside and becomes visible by one rename, so readers see all of it or nothing; so does a
+snapshot, which stands for all events up to its number. Every event carries a checksum of its values.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotloom.functions.tables import kept
 from slotloom.operators.hierarchy import closure, depths
 from slotloom.schema import EVENT_TYPES, EVENTS, Schedule
 
 ADDED = {"RuleAdded": "rule", "HoldPlaced": "hold", "BookingConfirmed": "booking"}
 REMOVED = ["RuleRemoved", "HoldReleased", "BookingCancelled"]
 WITH_SPAN = [*ADDED, "RuleUpdated"]
+NAMES = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
+STORED = f"{EVENTS}, check bigint"
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(path)
+def checksum() -> Column:
+    """crc32 of an event's values as JSON, nulls included."""
+    return F.crc32(F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    files, where = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def _publish(events: DataFrame, path: str, name: str) -> None:
+    """Writes ``events`` aside and renames the folder: names with an underscore in front are no part of a log."""
+    spark, hidden = events.sparkSession, f"{path}/_new-{uuid.uuid4().hex}"
+    events.select(*NAMES, checksum().alias("check")).write.parquet(hidden)
+    files, made = _files(spark, hidden)
+    if not files.rename(made, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")):
+        raise OSError(f"{path}/{name} cannot be made")
 
 
 def append_log(events: DataFrame, path: str) -> None:
-    """All of ``events`` or none: one commit of Spark's writer."""
-    names = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
-    events.select(names).write.mode("append").parquet(path)
+    """All of ``events`` or none, also for those who read meanwhile."""
+    path = path.rstrip("/")
+    files, where = _files(events.sparkSession, path)
+    files.mkdirs(where)
+    _publish(events, path, f"batch-{uuid.uuid4().hex}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a log with their checksums: those of the last snapshot, and those after it."""
+    path = path.rstrip("/")
+    folders = _folders(spark, path)
+    snapshots = [f for f in folders if re.fullmatch("snapshot-[0-9]{19}", f)]
+    batches = [f"{path}/{f}" for f in folders if f.startswith("batch-")]
+    rows = spark.read.schema(STORED).parquet(*batches) if batches else spark.createDataFrame([], STORED)
+    if snapshots:
+        rows = spark.read.schema(STORED).parquet(f"{path}/{snapshots[-1]}").unionByName(rows.where(F.col("seq") > int(snapshots[-1][9:])))
+    return rows
+
+
+def compact(spark: SparkSession, path: str, now: int) -> None:
+    """Makes a snapshot of the state after all events of a log. Later readers take it for them; its events are numbered from the last number down, so they stay below those that follow."""
+    log = valid_prefix(read_log(spark, path))
+    last = log.agg(F.max("seq")).first()[0]
+    if last is None:
+        return
+    made = kept(as_events(fold(log, now)), "snapshot")
+    most = made.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    _publish(made.withColumn("seq", F.col("seq") - most + last), path.rstrip("/"), f"snapshot-{last:019d}")
 
 
 def valid_prefix(events: DataFrame) -> DataFrame:
-    """The events before the first bad one: of no known type, without an id, or with a span that is none."""
+    """The events before the first bad one: of no known type, without an id, with a span that is none, or, where they carry checksums, with one that differs."""
     bad = ~F.coalesce(F.col("type").isin(EVENT_TYPES), F.lit(False)) | F.col("id").isNull() | (F.col("type").isin(WITH_SPAN) & ~F.coalesce(F.col("start") < F.col("end"), F.lit(False)))
+    if "check" in events.columns:
+        bad = bad | ~F.coalesce(F.col("check") == checksum(), F.lit(False))
     first = events.where(bad).agg(F.min("seq").alias("seq")).first()["seq"]
     return events if first is None else events.where(F.col("seq") < first)
 
@@ -54,17 +111,16 @@ def fold(events: DataFrame, now: int) -> Schedule:
     )
     values = F.struct("type", "resource_id", "start", "end", "blocking", "expires_at", "label")
     parts = events.where(is_(*WITH_SPAN, *REMOVED)).groupBy("id").agg(
-        F.max(F.when(is_(*ADDED), F.col("seq"))).alias("added"), F.max(F.when(is_(*REMOVED), F.col("seq"))).alias("removed"),
-        F.max_by(values, F.when(is_(*ADDED), F.col("seq"))).alias("a"), F.max_by(values, F.when(is_(*WITH_SPAN), F.col("seq"))).alias("u"),
+        F.max(F.when(is_(*WITH_SPAN), F.col("seq"))).alias("added"), F.max(F.when(is_(*REMOVED), F.col("seq"))).alias("removed"), F.max_by(values, F.when(is_(*WITH_SPAN), F.col("seq"))).alias("a"),
     )
-    parts = parts.where("added is not null and (removed is null or removed < added)")
-    parts = parts.select("id", "added", F.col("a.type").alias("type"), F.col("a.resource_id").alias("resource_id"), "u.start", "u.end", "u.blocking", "a.expires_at", "a.label")
+    parts = parts.where("added is not null and (removed is null or removed < added)").select("id", "added", "a.*")
     alive = parts.join(lives.select(F.col("id").alias("resource_id"), "born"), "resource_id").where("added > born")
-    pick = lambda kind, last: alive.where(F.col("type") == kind).select("id", "resource_id", "start", "end", last)
-    return Schedule(resources, pick("RuleAdded", "blocking"), pick("HoldPlaced", "expires_at"), pick("BookingConfirmed", "label"), now)
+    pick = lambda kind, last: alive.where(F.col("type").isin(kind)).select("id", "resource_id", "start", "end", last)
+    return Schedule(resources, pick(["RuleAdded", "RuleUpdated"], "blocking"), pick(["HoldPlaced"], "expires_at"), pick(["BookingConfirmed"], "label"), now)
 
 
-def _event(kind: str, rows: DataFrame, order: Column, **columns) -> DataFrame:
+def event(kind: str, rows: DataFrame, order: Column, **columns) -> DataFrame:
+    """Events of type ``kind``, numbered by ``order``: the columns given, else those of ``rows`` of that name, else null."""
     names = [(c.strip().split(" ")[0], c.strip().split(" ")[1]) for c in EVENTS.split(",")]
     given = {"type": F.lit(kind), "seq": order, **columns}
     return rows.select(*[given.get(n, F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in names])
@@ -72,10 +128,10 @@ def _event(kind: str, rows: DataFrame, order: Column, **columns) -> DataFrame:
 
 def as_events(s: Schedule) -> DataFrame:
     """The fewest events that give ``s``, parents before children. ``seq`` rises but has gaps."""
-    deep = depths(closure(s.resources))
-    resources = _event("ResourceCreated", s.resources.join(deep, "id"), F.col("depth"))
+    deep = depths(closure(s.resources))  # deletions of parents that have children are refused, so every depth is right
+    resources = event("ResourceCreated", s.resources.join(deep, "id"), F.col("depth"))
     after = F.lit(1 << 20)
-    rows = resources.unionByName(_event("RuleAdded", s.rules, after)).unionByName(_event("HoldPlaced", s.holds, after)).unionByName(_event("BookingConfirmed", s.bookings, after))
+    rows = resources.unionByName(event("RuleAdded", s.rules, after)).unionByName(event("HoldPlaced", s.holds, after)).unionByName(event("BookingConfirmed", s.bookings, after))
     return rows.orderBy("seq", "type", "id").withColumn("seq", F.monotonically_increasing_id() + 1)
 
 

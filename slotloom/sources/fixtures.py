@@ -1,10 +1,14 @@
-"""Two schedules derived from the test tables: a team calendar from ``events`` and a dispatch tree from ``supplier`` and ``lineitem``."""
+"""Two schedules derived from the test tables: a team calendar from ``events`` and a dispatch tree from ``supplier`` and ``lineitem``.
+
+The tables of a schedule are written once in an application and read by all queries, as a stored schedule is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotloom.functions.tables import REMEMBERED, kept
 from slotloom.schema import Schedule
 
 A_START, A_END, A_NOW = 1_704_067_200_000, 1_706_659_200_000, 1_705_276_800_000
@@ -31,7 +35,7 @@ def _rule(id_: Column, resource: Column, start, end, blocking: bool) -> list[Col
     return [id_.alias("id"), resource.alias("resource_id"), lit(start).cast("bigint").alias("start"), lit(end).cast("bigint").alias("end"), F.lit(blocking).alias("blocking")]
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props", millis("ts").alias("start"))
     return rows.withColumns({"id": ident(F.col("event_id") + 10_000_000_000), "resource_id": ident(F.col("user_id") + 100_000)})
 
@@ -42,11 +46,27 @@ def _lasting(rows: DataFrame, ms: int) -> DataFrame:
 
 def candidates_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested spans: ``(id, resource_id, start, end)``."""
-    return _lasting(_events(spark, sf_dir).where("event_type = 'signup'"), 60_000).select("id", "resource_id", "start", "end")
+    return _lasting(events_a(spark, sf_dir).where("event_type = 'signup'"), 60_000).select("id", "resource_id", "start", "end")
+
+
+def _stored(name: str, make, spark: SparkSession, sf_dir: str) -> Schedule:
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in REMEMBERED:
+        s = make(spark, sf_dir)
+        REMEMBERED[key] = Schedule(*[kept(getattr(s, t), f"{name}-{t}") for t in ("resources", "rules", "holds", "bookings")], s.now)
+    return REMEMBERED[key]
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> Schedule:
-    events = _events(spark, sf_dir)
+    return _stored("calendar", _calendar, spark, sf_dir)
+
+
+def dispatch(spark: SparkSession, sf_dir: str) -> Schedule:
+    return _stored("dispatch", _dispatch, spark, sf_dir)
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> Schedule:
+    events = events_a(spark, sf_dir)
     users = events.select("user_id").distinct().withColumn("team", F.floor(F.col("user_id") / 10))
     teams = users.select("team").distinct()
     org = spark.range(1)
@@ -65,7 +85,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> Schedule:
     return Schedule(resources, rules, holds, bookings, A_NOW)
 
 
-def dispatch(spark: SparkSession, sf_dir: str) -> Schedule:
+def _dispatch(spark: SparkSession, sf_dir: str) -> Schedule:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     region, nation, supplier = read("region"), read("nation"), read("supplier")
     r, n, k = F.col("r_regionkey"), F.col("n_nationkey"), F.col("s_suppkey")

@@ -1,6 +1,7 @@
 """The event log, its streams, tenants and scalar functions."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def test_fold_of_partial_updates_and_lives(spark):
     assert ev.fold(log(spark, *again), 0).bookings.count() == 0
     assert ev.fold(log(spark, *again, BOOKED), 0).bookings.count() == 1
     gone = [CREATED, {"type": "RuleAdded", "id": "a", "resource_id": "r", "start": 1, "end": 2, "blocking": False}, {"type": "RuleRemoved", "id": "a", "resource_id": "r"}, {"type": "RuleUpdated", "id": "a", "resource_id": "r", "start": 1, "end": 3, "blocking": True}]
-    assert ev.fold(log(spark, *gone), 0).rules.count() == 0
+    assert ev.fold(log(spark, *gone[:3]), 0).rules.count() == 0
+    assert [(r.id, r.end, r.blocking) for r in ev.fold(log(spark, *gone), 0).rules.collect()] == [("a", 3, True)]  # an update brings a removed rule back
+    assert ev.fold(log(spark, CREATED, gone[3]), 0).rules.count() == 1 and ev.fold(log(spark, gone[3]), 0).rules.count() == 0
     assert ev.fold(log(spark, *gone[:2], gone[3]), 0).rules.first().end == 3
     assert ev.fold(log(spark), 0).intervals().count() == 0
 
@@ -74,7 +77,7 @@ def test_streams(spark, tmp_path):
     hold = lambda i, e, seq: {"seq": seq, "type": "HoldPlaced", "id": i, "resource_id": "c", "start": 1, "end": 2, "expires_at": e}
     parts = [
         [({**CREATED, "id": "c", "seq": 1}, 10), (hold("early", 1000, 2), 10), (hold("released", 1000, 3), 10), (hold("late", 10**9, 4), 10)],
-        [({"seq": 5, "type": "HoldReleased", "id": "released", "resource_id": "c"}, 500)],
+        [({"seq": 5, "type": "HoldReleased", "id": "released", "resource_id": "c"}, 500), ({**hold("gone", 1000, 3), "resource_id": "d"}, 10), ({"seq": 5, "type": "ResourceDeleted", "id": "d"}, 500)],
         [({**BOOKED, "resource_id": "c", "seq": 6}, 5000)],
         [({**BOOKED, "resource_id": "c", "id": "b2", "seq": 7}, 6000)],
     ]
@@ -93,7 +96,11 @@ def test_streams(spark, tmp_path):
     assert [(r.id, r.expires_at) for r in run(feed.expiring_holds(slow), "expired")] == [("early", 1000)]
     rows = run(feed.change_feed(events, tree), "feed")
     assert len(rows) == 14 and {r.channel for r in rows} == {"resource_c", "resource_top"}
-    assert {r.channel for r in run(feed.change_feed(events, tree, ["top"]), "one")} == {"resource_top"}
+    both = tree.unionByName(spark.createDataFrame([("top", "top", 0)], tree.schema))
+    assert {r.channel for r in run(feed.change_feed(events, both, ["top"]), "one")} == {"resource_top"}
+    for ids, limits in ((["nobody"], Limits()), (["c", "top"], Limits(followed=1))):
+        with pytest.raises(ScheduleError):
+            feed.change_feed(events, both, ids, limits)
 
 
 def test_admitting_writer(spark, tmp_path):
@@ -102,8 +109,25 @@ def test_admitting_writer(spark, tmp_path):
     kind = "seq bigint, id string, resource_id string, start bigint, end bigint, label string"
     for rows in ([(1, "a", "r", 0, 10, None), (2, "b", "r", 5, 15, None)], [(3, "c", "r", 10, 20, "x"), (4, "d", "nobody", 0, 1, None)]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(asked)
-        feed.admitting(spark.readStream.schema(kind).parquet(asked), path, str(tmp_path / "ck"), 0).awaitTermination(120)
+        feed.admitting(spark.readStream.schema(kind).parquet(asked), path, str(tmp_path / "ck"), lambda: 0, compact_every=2).awaitTermination(120)
     assert sorted(r.id for r in ev.fold(ev.read_log(spark, path), 0).bookings.collect()) == ["a", "c"]
+    assert any(f.startswith("snapshot-") for f in os.listdir(path))
+
+
+def test_log_folders(spark, tmp_path):
+    path = str(tmp_path / "log")
+    ev.append_log(log(spark, CREATED, BOOKED), path)
+    ev.append_log(log(spark, *[{**BOOKED, "id": f"b{i}", "seq": i} for i in range(5, 8)]), path)
+    before = ev.fold(ev.read_log(spark, path), 0).bookings.count()
+    ev.compact(spark, path, 0)
+    ev.append_log(log(spark, {"type": "BookingCancelled", "id": "b5", "resource_id": "r", "seq": 8}), path)
+    rows = ev.read_log(spark, path)
+    assert before == 4 and ev.fold(ev.valid_prefix(rows), 0).bookings.count() == 3 and rows.count() == 6 and ev.valid_prefix(rows).count() == 6
+    bad = rows.withColumn("label", F.when(F.col("type") == "BookingCancelled", F.lit("x")))
+    assert ev.valid_prefix(bad).count() == 5  # its checksum differs
+    ev.append_log(log(spark), str(tmp_path / "none"))
+    ev.compact(spark, str(tmp_path / "none"), 0)
+    assert ev.read_log(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_tenants(spark, tmp_path):
