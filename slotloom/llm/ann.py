@@ -6,7 +6,7 @@ and relaxed distance pruning keeps a diverse ``DEGREE`` of them: a candidate is
 ALPHA, than the node itself is. A beam search of every shard answers each distinct query vector, and the shards' best are merged.
 
 Largest inner product is turned into least distance by one more component, which levels the vectors' lengths; the scores
-are inner products of the original vectors in double precision. Queries meet shards in blocks of ``BLOCK`` queries.
+are inner products of the original vectors in double precision. A shard is read once, and the queries stream past it.
 
 Defined results: vectors that are null, all zero, or hold a null or non-finite component take no part; vectors of another number
 of components are no candidates of a query; repeated rows count once, and of several vectors of one vec_id the least is taken.
@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotloom.llm.common import written
+from slotloom.llm.common import joined, written
 
 TOP = 20
 SHARD_ROWS = 4096
-BLOCK = 1024
 DEGREE = 28
 BUILD_BEAM = 64
 BEAM = 96
@@ -134,13 +133,19 @@ def _levelled(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x.astype(np.float64) ** 2).sum(1), 0))[:, None]], axis=1).astype(np.float32)
 
 
+def precision(table: DataFrame) -> type:
+    """The numpy type that holds the components of ``v`` as they are."""
+    return np.float32 if dict(table.dtypes)["v"] == "array<float>" else np.float64
+
+
 def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each shard: ``(dim, shard, n)`` and, as bytes, ``(starts, vectors, graph, ids, counts)."""
     sizes = {r["dim"]: (r["n"], r["longest"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))).alias("longest")).collect()}
+    kind = precision(nodes)
     shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // shard_rows))) for d, (n, _) in sizes.items()], F.lit(1))
 
     def run(table: pa.Table) -> pa.Table:
-        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(table.num_rows, -1)
+        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(table.num_rows, -1)
         order = np.argsort(table["node"].to_numpy())
         x, ids = x[order], [table["ids"][int(i)].as_py() for i in order]
         graph, starts = build(_levelled(x, sizes[x.shape[1]][1]))
@@ -154,53 +159,65 @@ def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def search(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM) -> DataFrame:
-    """``(qid, best)`` for ``queries (qid, v, dim)``: the ``top`` + 1 best ids over all shards, as structs (away, vec_id) where away is minus the score."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    grouped = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list(F.struct("qid", "v")).alias("qs"))
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(grouped, ["dim", "block"])
+    """``(qid, best)`` for ``queries (qid, v, dim)``: the ``top`` + 1 best ids over all shards, as structs (away, vec_id) where away is minus the score.
+
+    Rows are dealt by shard; the shard's own row comes first in its partition, and queries follow it in batches.
+    """
+    kind = precision(queries)
+    of = shards.groupBy("dim").agg(F.collect_set("shard").alias("all"))  # numbers alone, one for thousands of vectors
+    own = shards.select("dim", "shard", F.lit(None).cast("bigint").alias("qid"), F.lit(None).cast(dict(queries.dtypes)["v"]).alias("v"), "starts", "n", "vectors", "graph", "ids", "counts")
+    asked = queries.join(F.broadcast(of), "dim").select("dim", F.explode("all").alias("shard"), "qid", "v")
+    rows = own.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("qid").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+
+        def loaded(row: dict) -> tuple:
+            x = np.frombuffer(row["vectors"], kind).reshape(row["n"], row["dim"])
+            counts = np.frombuffer(row["counts"], np.int32)
+            longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max()))
+            return row["shard"], x, _levelled(x, longest), np.frombuffer(row["graph"], np.int32).reshape(row["n"], -1), np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ids"], np.int64), counts, np.cumsum(counts)
+
+        def answered(batch: pa.RecordBatch) -> pa.RecordBatch:
+            number, x, level, graph, starts, ids, counts, ends = shard
+            q = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
+            found, _ = beam_search(level, graph, starts, np.concatenate([q, np.zeros((len(q), 1), kind)], 1).astype(np.float32), beam)
+            score = (x[np.maximum(found, 0)].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(2)
+            out = []
+            for own, s in zip(found, score):
+                own, s = own[own >= 0], s[own >= 0]
+                keep = np.argsort(-s, kind="stable")
+                cut = keep[s[keep] >= s[keep[min(top, len(keep) - 1)]]]  # with ties of the last
+                flat = [(-s[i], v) for i in cut for v in ids[ends[own[i]] - counts[own[i]] : ends[own[i]]].tolist()]
+                out.append([{"away": w, "vec_id": v} for w, v in sorted(flat)[: top + 1]])
+            return pa.RecordBatch.from_arrays([batch.column("qid"), pa.array([number] * len(out), pa.int64()), pa.array(out, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))], names=["qid", "shard", "best"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], row["dim"])
-                graph = np.frombuffer(row["graph"], np.int32).reshape(row["n"], -1)
-                counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
-                ends = np.cumsum(counts)
-                q = np.array([o["v"] for o in row["qs"]], np.float32)
-                longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max()))
-                level = _levelled(x, longest)
-                out_q, out = [], []
-                for a in range(0, len(q), BATCH):
-                    part = q[a : a + BATCH]
-                    found, _ = beam_search(level, graph, np.frombuffer(row["starts"], np.int64), np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1), beam)
-                    score = (x[np.maximum(found, 0)].astype(np.float64) * part[:, None, :].astype(np.float64)).sum(2)
-                    for o, own, s in zip(row["qs"][a : a + BATCH], found, score):
-                        own, s = own[own >= 0], s[own >= 0]
-                        keep = np.argsort(-s, kind="stable")
-                        cut = keep[s[keep] >= s[keep[min(top, len(keep) - 1)]]]  # with ties of the last
-                        flat = [(-s[i], v) for i in cut for v in ids[ends[own[i]] - counts[own[i]] : ends[own[i]]].tolist()]
-                        out_q.append(o["qid"])
-                        out.append([{"away": w, "vec_id": v} for w, v in sorted(flat)[: top + 1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.int64()), pa.array([row["shard"]] * len(out_q), pa.int64()), pa.array(out, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))], names=["qid", "shard", "best"]
-                )
-
-    found = pairs.mapInArrow(run, "qid bigint, shard bigint, best array<struct<away:double,vec_id:bigint>>")
+            heads = np.flatnonzero(np.asarray(batch.column("qid").is_null()))
+            for a, b in zip([0, *heads], [*heads, batch.num_rows]):
+                if a in heads:
+                    shard = loaded(batch.slice(a, 1).to_pylist()[0])
+                    a += 1
+                for at in range(a, b, BATCH):
+                    yield answered(batch.slice(at, min(BATCH, b - at)))
+
+    found = rows.mapInArrow(run, "qid bigint, shard bigint, best array<struct<away:double,vec_id:bigint>>")
     merged = lambda by: F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top + 1).alias("best")
     some = found.groupBy("qid", F.pmod("shard", F.lit(64)).alias("part")).agg(merged("qid"))
     return some.groupBy("qid").agg(merged("qid"))
 
 
-def neighbours(table: DataFrame, is_query, top: int = TOP, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def neighbours(table: DataFrame, is_query, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of ``table`` that ``is_query`` (a condition on vec_id) admits."""
     rows = written(usable(table, id_, vector), "vectors")
-    shards = written(index(written(nodes_of(rows, top), "nodes")), "shards")
-    asked = rows.where(is_query)
-    distinct = written(asked.groupBy("v").agg(F.min("vec_id").alias("qid")).withColumn("dim", F.size("v")), "queries")
+    shards = written(index(written(nodes_of(rows, top), "nodes"), shard_rows), "shards")
+    asked = written(rows.where(is_query), "asked")
+    distinct = written(asked.groupBy("v").agg(F.min("vec_id").alias("qid"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "queries")
     best = written(search(shards, distinct.select("qid", "v", "dim"), top), "best")
-    each = asked.join(distinct.select("v", "qid"), "v").select(F.col("vec_id").alias("query_id"), "qid").join(best, "qid")
+    named = written(joined(asked, distinct.select("v", "qid", "n"), ["v"], "n", total := asked.count()).select("vec_id", "qid"), "named")
+    each = joined(named, best.join(distinct.select("qid", "n"), "qid"), ["qid"], "n", total)
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, top)
-    out = each.select("query_id", F.posexplode(others).alias("at", "b"))
+    out = each.select(F.col("vec_id").alias("query_id"), "best").select("query_id", F.posexplode(others).alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score"))
 
 

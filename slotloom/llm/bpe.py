@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.llm.common import documents, slices
-from slotloom.llm.words import WordEncoder
+from slotloom.llm.words import LONG, WordEncoder
 
 _SHIFT = 40
 _PLACE = (1 << _SHIFT) - 1
@@ -94,9 +94,10 @@ class Bpe:
             ids = [inner[b] for b in raw]
             ids[-1] = self.last[raw[-1]]
             ids = self.merge(ids if min(ids) >= 0 else [i for i in ids if i >= 0])
-            if len(self.kept) >= self.keep:
-                self.kept.clear()
-            self.kept[piece] = ids
+            if len(piece) <= LONG:
+                if len(self.kept) >= self.keep:
+                    self.kept.clear()
+                self.kept[piece] = ids
         return ids
 
     def encode_plain(self, word: str) -> list[int]:

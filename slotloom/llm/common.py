@@ -12,10 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key counts as heavy if it has more than one row in so many; there can be no more heavy keys than this, so that their rows can be broadcast.
+HEAVY = 50_000
+LEAST_HEAVY = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which every executor sees. Where it is unset, as in local tests, one is made."""
+    """The folder of ``spark.checkpoint.dir``, which every executor sees. Where it is unset, one is made for a local master; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="slotloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,12 +34,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: it cuts the lineage and outlives lost executors."""
+    """``df`` written to the shared folder as Parquet and read again: it cuts the lineage and outlives lost executors. ``forget`` deletes all such tables."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder. Results that are not yet written elsewhere become unreadable."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/slotloom/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made and that nothing reads any more."""
     spark = df.sparkSession
@@ -41,6 +55,18 @@ def drop_written(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, which has one row for each key and in ``count`` how many of ``rows`` have it (dropped in the result); ``total`` is the number of ``rows``.
+
+    Keys with more than ``max(LEAST_HEAVY, total / HEAVY)`` rows, of which there are ``HEAVY`` at most, are broadcast; the others, none of which is a
+    task of its own, meet by shuffle. ``rows`` and ``side`` are read twice: give written tables.
+    """
+    bound = max(LEAST_HEAVY, total // HEAVY)
+    heavy, light = side.where(F.col(count) > bound).drop(count), side.where(F.col(count) <= bound).drop(count)
+    known = heavy.select(*keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(known), keys, "left_anti").join(light, keys, how))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front while ``df`` has a column of that name (case aside)."""
     have = {c.lower() for c in df.columns}

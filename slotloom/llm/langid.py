@@ -23,8 +23,8 @@ from slotloom.llm.common import documents, fold, free_name, slices
 
 PROFILE = 400
 LANGUAGES = 2000
-#: In the pipeline, documents under this score resemble no language. Prose scores above 0.3.
-MIN_SCORE = 0.1
+#: A document resembles no language if its score is under this part of what all but ``RARE`` of the learned documents reach.
+SLACK, RARE = 0.9, 0.001
 _DENSE = 1 << 22
 
 
@@ -146,6 +146,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, free_name(docs, "lang_pred"), free_name(docs, "score"))
 
 
+def least_score(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang") -> float:
+    """The score below which a document resembles no language, from the scores of all of ``docs`` that have a language; 0 where nothing was learned."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    found = identify(known, profiles).where("score > 0").agg(F.percentile_approx("score", RARE, 10_000).alias("q")).first()["q"]
+    return SLACK * found if found is not None else 0.0
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     profiles = learn(docs.where(fold(4) != 2))

@@ -127,6 +127,8 @@ def tracks(media: bytes) -> list[Track]:
     """The tracks of a container, from its boxes alone."""
     data, found = memoryview(media), []
     for path, a, b in walk(data):
+        if path[-1] == b"moof":
+            raise ValueError("a fragmented file")
         if path[-1] == b"trak":
             found.append({})
         elif found:
@@ -184,20 +186,24 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     return df.toDF(*names).mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in zip(names, kinds)), "media binary"])).toDF(*df.columns, free_name(df, "media"))
 
 
-PROBED = "codec string, duration_ms bigint, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, error string"
+PROBED = "codec string, duration_ms bigint, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>, tracks array<struct<codec:string,duration_ms:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, error string"
 
 
 def probe(df: DataFrame, media: str = "media", digests: bool = False) -> DataFrame:
-    """Adds codec, duration, number of samples and keyframe byte ranges of the first track; with ``digests`` also those of its payload."""
+    """Adds codec, duration, number of samples and keyframe byte ranges of the first track, and ``tracks`` with those of all; with ``digests`` also those of the first one's payload. Fragmented files are an ``error``, as their samples are not in the tables."""
     at, kinds = df.columns.index(media), [t for _, t in df.dtypes]
     names, added = [f"c{i}" for i in range(len(kinds))], [p.strip().split(" ")[0] for p in PROBED.split(", ")]
 
+    def features(track: Track) -> dict:
+        return {"codec": track.codec, "duration_ms": track.duration * 1000 // track.timescale, "n_samples": len(track.sizes), "keyframes": [{"start": a, "end": b} for a, b in track.keyframes]}
+
     def one(raw: bytes | None) -> dict:
         if raw is None:
             return dict.fromkeys(added)
         try:
-            track = tracks(raw)[0]
-            out = {"codec": track.codec, "duration_ms": track.duration * 1000 // track.timescale, "n_samples": len(track.sizes), "keyframes": [{"start": a, "end": b} for a, b in track.keyframes]}
+            found = tracks(raw)
+            track = found[0]
+            out = features(track) | {"tracks": [features(t) for t in found]}
             if digests:
                 payload = extract(raw, track)
                 out |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:])}
@@ -205,7 +211,8 @@ def probe(df: DataFrame, media: str = "media", digests: bool = False) -> DataFra
         except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error) as e:
             return {"error": f"{type(e).__name__}: {e}"[:200]}
 
-    kind = pa.struct([("codec", pa.string()), ("duration_ms", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("error", pa.string())])
+    first = [("codec", pa.string()), ("duration_ms", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    kind = pa.struct([*first, ("tracks", pa.list_(pa.struct(first))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -4,9 +4,9 @@ A text's features are indicators of its word unigrams and bigrams and of the uni
 Each is scaled by the log of the ratio of its smoothed frequencies in the two classes; on these a linear model with hinge loss
 is fitted by dual coordinate descent, and mixed with the plain ratios' mean weight as usual.
 
-It is fitted on the driver on at most ``TRAIN_ROWS`` labelled documents of each class, chosen by a hash; the class shares are
-those of all labels that may be used. A fifth of the sample calibrates the scores. Defined results: a null text scores as an
-empty one; where one class has no labelled text, every score is the share of label 1 (0.5 without labels); equal texts score alike.
+It is fitted on the driver on the features of at most ``TRAIN_ROWS`` labelled documents of each class, chosen by a hash; the class shares are
+those of all labels that may be used. A fifth of each class calibrates the scores. Defined results: a null text scores as an
+empty one; where the sample has no text of one class, every score is the share of label 1 among the labels (0.5 without labels); equal texts score alike.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.llm.common import documents, fold
-from slotloom.llm.features import Buckets, platt, sampled, shares, with_scores, words_cased
-from slotloom.llm.toxicity import _margins
+from slotloom.llm.features import Buckets, both, calibrated, sampled, share_of, split, with_scores, words_cased
+from slotloom.llm.toxicity import _flat, _margins
 
 TRAIN_ROWS = 3000
 BITS = 18
@@ -63,12 +63,15 @@ class Features:
         return np.flatnonzero(found)
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the intercept, both on the scale of calibrated log-odds."""
-    features = Features(bits)
-    order = np.random.default_rng(5).permutation(len(y))
-    held, kept = order[: len(y) // 5], order[len(y) // 5 :]
-    rows, t = [features(texts[i]) for i in kept], y[kept] * 2.0 - 1
+def features(bits: int = BITS):
+    of = Features(bits)
+    return lambda text: [of(text)]
+
+
+def fit(found: list[list[np.ndarray]], y: np.ndarray, share: float, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the intercept, both on the scale of calibrated log-odds, from the ``features`` of texts of both classes."""
+    held, kept = split(y, 5)
+    rows, t = [found[i][0] for i in kept], y[kept] * 2.0 - 1
     p, q = (SMOOTH + np.bincount(np.concatenate([r for r, s in zip(rows, t) if s == c]), minlength=1 << bits) for c in (1, -1))
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     w, bias, alpha = np.zeros(1 << bits), 0.0, np.zeros(len(rows))
@@ -88,18 +91,15 @@ def fit(texts: list[str], y: np.ndarray, share: float, bits: int = BITS) -> tupl
         if moved < 1e-5:
             break
     weights = ratio * ((1 - MIX) * np.abs(w).mean() + MIX * w)
-    h = [features(texts[i]) for i in held]
-    slope, shift = platt(_margins(weights, np.concatenate(h), np.array([len(x) for x in h])) + bias * MIX, y[held])
-    sample = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    shift += np.log(share / (1 - share)) - np.log(sample / (1 - sample))
+    slope, shift = calibrated(_margins(weights, *_flat([found[i][0] for i in held])) + bias * MIX, y[held], y, share)
     return slope * weights, float(slope * bias * MIX + shift)
 
 
 def scorer(weights: np.ndarray, bias: float, bits: int = BITS):
-    features = Features(bits)
+    of = Features(bits)
 
     def score(texts: list[str]) -> np.ndarray:
-        return np.array([1 / (1 + np.exp(-np.clip(weights[features(t)].sum() + bias, -30, 30))) for t in texts])
+        return np.array([1 / (1 + np.exp(-np.clip(weights[of(t)].sum() + bias, -30, 30))) for t in texts])
 
     return score
 
@@ -107,11 +107,11 @@ def scorer(weights: np.ndarray, bias: float, bits: int = BITS):
 def quality(docs: DataFrame, labelled: DataFrame, labels: DataFrame, may=None, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
     """Adds ``score`` and ``predicted`` to ``docs``; learns from the rows of ``labels`` that ``may`` admits, with the texts of ``labelled``."""
     may = F.lit(True) if may is None else may
-    share, have = shares(labels, label, may)
-    if not have:
+    share = share_of(labels, label, may)
+    found = sampled(labelled, labels, label, may, rows, features)
+    if not both(found):
         return with_scores(docs, lambda: lambda texts: np.full(len(texts), share), LIMIT)
-    found = sampled(labelled, labels, label, may, rows)
-    weights, bias = fit([t for t, _ in found], np.array([v for _, v in found]), share)
+    weights, bias = fit([x for x, _ in found], np.array([v for _, v in found]), share)
     return with_scores(docs, lambda: scorer(weights, bias), LIMIT)
 
 

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm.common import documents, drop_written, slices, written
+from slotloom.llm.common import documents, joined, slices, written
 from slotloom.llm.components import components
 
 RADIUS = 3
 WORDS = 3
 CAP = 512
 SEED = 42
+#: Shingles whose bits are counted at once.
+SLICE = 1 << 14
 
 
 def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
@@ -41,7 +43,7 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
             continue
         grams = map(shingle, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [shingle(w)]
         h = np.fromiter((digest(g, SEED) for g in grams), np.uint64, max(1, len(w) - words + 1))
-        ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones = sum(np.unpackbits(h[a : a + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for a in range(0, len(h), SLICE))
         out[i] = np.packbits(2 * ones > len(h)).view(">u8")[0]
     return out
 
@@ -119,8 +121,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFram
     for level in range(3):
         keyed = _keyed(rows, level, by)
         by = [*by, f"t{level}", f"k{level}"]
-        sizes = keyed.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        rows = written(keyed.join(sizes, by), f"buckets{level}")
+        keyed = written(keyed, f"keyed{level}") if level else keyed
+        sizes = written(keyed.groupBy(*by).agg(F.count("*").alias("n"), F.count("*").alias("all")).where("n > 1"), f"sizes{level}")
+        rows = written(joined(keyed, sizes, by, "all", keyed.count()), f"buckets{level}")
         last = level == 2  # what is left there is bounded by the bits that are free
         found.append(_linked((rows if last else rows.where(F.col("n") <= cap)).groupBy(*by).agg(F.collect_list("fp").alias("fps")).select("fps"), radius))
         rows = rows.where(F.col("n") > cap).drop("n")
@@ -134,12 +137,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFram
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
     """Adds ``component_id`` to ``prints (id, fp)``: the smallest id among the rows that chains of links reach."""
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     of = components(links(nodes))
-    named = of.withColumnRenamed("node", "fp").join(nodes, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    joined = of.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    each = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(each, "fp", "left").select("id", "fp", "component_id")
+    of = written(of.withColumnRenamed("node", "fp").join(nodes, "fp"), "of")
+    named = written(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("all")), "named")
+    linked = joined(of, named, ["component"], "all", of.count()).select("fp", "component_id")
+    each = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "each")
+    return joined(prints, each, ["fp"], "n", prints.count()).select("id", "fp", "component_id")
 
 
 def once(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Operator 9: toxicity by a counterfactual-regularised linear classifier.
 
 The classifier is logistic regression on the words that a text holds and on their first 4 to 7 letters, which words of one stem
-share (all hashed). For every labelled text that names a group, a
-counterfactual is made by swapping each identity term for the next of its set; the squared change of the score between the
-two is part of the loss, so that a neutral mention of a group cannot move a score, whatever company the term keeps in the labels.
-
-It is fitted on the driver on at most ``TRAIN_ROWS`` labelled documents of each class, chosen by a hash; the class shares are
-those of all labels that may be used. A fifth of the sample calibrates the scores. Defined results: a null text scores as an
-empty one; where one class has no labelled text, every score is the share of label 1 (0.5 without labels); equal texts score alike.
+share (all hashed). For every labelled text that names a group, counterfactuals are made by swapping each identity term for every
+other of its set; neutral sentences (``NEUTRAL``) name every term of every set in turn, also those that no labelled text has. The squared
+change of the score between a text and its counterfactual is part of the loss, so that a neutral mention of a group
+cannot move a score, whatever company the term keeps in the labels.
+
+It is fitted on the driver on the features of at most ``TRAIN_ROWS`` labelled documents of each class, chosen by a hash; the class shares are
+those of all labels that may be used. A fifth of each class calibrates the scores. Defined results: a null text scores as an
+empty one; where the sample has no text of one class, every score is the share of label 1 among the labels (0.5 without labels); equal texts score alike.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.llm.common import documents, fold
-from slotloom.llm.features import Buckets, platt, sampled, shares, with_scores, words
+from slotloom.llm.features import Buckets, both, calibrated, sampled, share_of, split, with_scores, words
 
 TRAIN_ROWS = 1500
 BITS = 19
@@ -37,13 +38,24 @@ IDENTITIES = [
     "immigrant native", "immigrants natives", "mexican chinese indian german french spanish british russian", "old young", "elderly teenage", "disabled abled", "deaf blind",
     "femme homme", "femmes hommes", "musulman chrétien juif", "noir blanc", "frau mann", "frauen männer", "muslimisch christlich jüdisch", "mujer hombre", "mujeres hombres", "musulmán cristiano judío", "negro blanco",
 ]
-SWAP = {a: b for terms in IDENTITIES for t in [terms.split()] for a, b in zip(t, [*t[1:], t[0]])}
+#: Sentences that say nothing of whom they name.
+NEUTRAL = ["the {} was here", "a {} person", "i am {}", "{} and the others"]
+SETS = [terms.split() for terms in IDENTITIES]
+PLACE = {term: (own, i) for own in SETS for i, term in enumerate(own)}
 
 
-def swapped(text: str) -> list[str] | None:
-    """The words of ``text`` with its identity terms swapped, or None if it has none."""
+def swapped(text: str) -> list[list[str]]:
+    """The words of ``text`` with its identity terms swapped, once for each way to move along their sets; none if it has no term."""
     own = words(text)
-    return [SWAP.get(w, w) for w in own] if any(w in SWAP for w in own) else None
+    most = max((len(PLACE[w][0]) for w in own if w in PLACE), default=1)
+    moved = lambda w, k: PLACE[w][0][(PLACE[w][1] + k) % len(PLACE[w][0])] if w in PLACE else w
+    ways = [[moved(w, k) for w in own] for k in range(1, most)]
+    return [w for w in ways if w != own]
+
+
+def neutral_pairs() -> list[tuple[list[str], list[str]]]:
+    """Each neutral sentence with each term of a set, beside the same with the next."""
+    return [(words(s.format(a)), words(s.format(b))) for s in NEUTRAL for own in SETS for a, b in zip(own, [*own[1:], own[0]])]
 
 
 class Stems(Buckets):
@@ -57,9 +69,18 @@ class Stems(Buckets):
         return found
 
 
-def _rows(lists: list[list[str]], stems: Stems) -> tuple[np.ndarray, np.ndarray]:
-    own = [np.fromiter(set().union(*map(stems.__getitem__, set(x))), np.int32) for x in lists]
-    return np.concatenate([*own, np.empty(0, np.int32)]), np.array([len(x) for x in own], np.int64)
+def _row(own: list[str], stems: Stems) -> np.ndarray:
+    return np.fromiter(set().union(*map(stems.__getitem__, set(own))), np.int32)
+
+
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*rows, np.empty(0, np.int32)]), np.array([len(x) for x in rows], np.int64)
+
+
+def features(bits: int = BITS):
+    """A function from a text to its features and those of its counterfactuals."""
+    stems = Stems(bits, keep=150_000)
+    return lambda text: [_row(words(text), stems), *[_row(w, stems) for w in swapped(text)]]
 
 
 def _margins(w: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,16 +89,16 @@ def _margins(w: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - counts]
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the intercept, both on the scale of calibrated log-odds."""
-    buckets = Stems(bits, keep=150_000)
-    order = np.random.default_rng(3).permutation(len(y))
-    held, kept = order[: len(y) // 5], order[len(y) // 5 :]
-    flat, counts = _rows([words(texts[i]) for i in kept], buckets)
-    pairs = [(words(texts[i]), s) for i in kept if (s := swapped(texts[i])) is not None]
-    a_flat, a_counts = _rows([p for p, _ in pairs], buckets)
-    b_flat, b_counts = _rows([s for _, s in pairs], buckets)
-    t, n, m = y[kept].astype(float), len(kept), max(1, len(pairs))
+def fit(rows: list[list[np.ndarray]], y: np.ndarray, share: float, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the intercept, both on the scale of calibrated log-odds, from the ``features`` of texts of both classes."""
+    held, kept = split(y, 3)
+    stems = Stems(bits)
+    flat, counts = _flat([rows[i][0] for i in kept])
+    pairs = [(rows[i][0], other) for i in kept for other in rows[i][1:]]
+    pairs += [(_row(a, stems), _row(b, stems)) for a, b in neutral_pairs()]
+    a_flat, a_counts = _flat([p for p, _ in pairs])
+    b_flat, b_counts = _flat([s for _, s in pairs])
+    t, n, m = y[kept].astype(float), len(kept), len(pairs)
     spread = lambda values, flat, counts: np.bincount(flat, np.repeat(values, counts), minlength=1 << bits)
     # a feature counts as much as its frequencies in the two classes differ; else the many that say nothing drown the few that do
     one, zero = 1 + spread(t, flat, counts), 1 + spread(1 - t, flat, counts)
@@ -100,10 +121,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, bits: int = BITS) -> tupl
         grad = scale * (spread(g / n, flat, counts) + 2 * FAIR / m * (spread(change, a_flat, a_counts) - spread(change, b_flat, b_counts))) + RIDGE * v
         before, w, bias_before, bias = w, v - grad / bend, bias, c - g.mean() / bend
     w = w * scale
-    h_flat, h_counts = _rows([words(texts[i]) for i in held], buckets)
-    slope, shift = platt(_margins(w, h_flat, h_counts) + bias, y[held])
-    sample = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    shift += np.log(share / (1 - share)) - np.log(sample / (1 - sample))
+    slope, shift = calibrated(_margins(w, *_flat([rows[i][0] for i in held])) + bias, y[held], y, share)
     return slope * w, float(slope * bias + shift)
 
 
@@ -111,7 +129,7 @@ def scorer(weights: np.ndarray, bias: float, bits: int = BITS):
     buckets = Stems(bits, keep=150_000)
 
     def score(texts: list[str]) -> np.ndarray:
-        flat, counts = _rows([words(t) for t in texts], buckets)
+        flat, counts = _flat([_row(words(t), buckets) for t in texts])
         return 1 / (1 + np.exp(-np.clip(_margins(weights, flat, counts) + bias, -30, 30)))
 
     return score
@@ -120,11 +138,11 @@ def scorer(weights: np.ndarray, bias: float, bits: int = BITS):
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, may=None, label: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
     """Adds ``score`` and ``predicted`` to ``docs``; learns from the rows of ``labels`` that ``may`` admits, with the texts of ``labelled``."""
     may = F.lit(True) if may is None else may
-    share, have = shares(labels, label, may)
-    if not have:
+    share = share_of(labels, label, may)
+    found = sampled(labelled, labels, label, may, rows, features)
+    if not both(found):
         return with_scores(docs, lambda: lambda texts: np.full(len(texts), share), LIMIT)
-    found = sampled(labelled, labels, label, may, rows)
-    weights, bias = fit([t for t, _ in found], np.array([v for _, v in found]), share)
+    weights, bias = fit([x for x, _ in found], np.array([v for _, v in found]), share)
     weights = weights.astype(np.float32)
     return with_scores(docs, lambda: scorer(weights, bias), LIMIT)
 

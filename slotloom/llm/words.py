@@ -32,6 +32,10 @@ class _Codes(dict):
         return code
 
 
+#: Characters of all words that are kept, at most; a word of more than ``LONG`` is forgotten with the batch that holds it.
+KEPT, LONG = 8 << 20, 256
+
+
 class WordEncoder:
     """Encodes texts with ``encode_words`` (distinct words to lists of ids), which it asks once for each word it keeps."""
 
@@ -40,7 +44,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Codes()
+        self.codes, self.held = _Codes(), 0
         self.pool, self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +58,19 @@ class WordEncoder:
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.fresh:
             lists = self.encode_words(self.codes.fresh)
+            sizes = list(map(len, self.codes.fresh))
+            self.held += sum(sizes)
+            long = max(sizes) > LONG
             self.codes.fresh = []
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.pool, self.lengths = np.concatenate([self.pool, flat]), np.concatenate([self.lengths, lengths])
+        else:
+            long = False
         lengths = self.lengths[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(self.starts[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-        if len(self.codes) > self.keep:
+        if long or len(self.codes) > self.keep or self.held > KEPT:
             self._clear()
         return ids, np.diff(upto[ends])

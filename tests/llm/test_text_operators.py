@@ -252,7 +252,8 @@ def test_counterfactuals_level_identity_terms():
     gap = []
     for fair in (0.0, 1.0):
         toxicity.FAIR, old = fair, toxicity.FAIR
-        w, b = toxicity.fit(texts, np.array(label), 0.5)
+        of = toxicity.features()
+        w, b = toxicity.fit([of(t) for t in texts], np.array(label), 0.5)
         toxicity.FAIR = old
         score = toxicity.scorer(w, b)
         x, z = score(["the muslim was in the", "the christian was in the"])
@@ -278,3 +279,127 @@ def test_neighbours(spark):
         assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
     assert hit / n >= 0.9
     assert ann.neighbours(table_.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
+def test_classifiers_on_few_labels(spark, operator):
+    """None to ten labelled rows, of one class or both, with or without texts: scores stay within 0 and 1, and are the share of label 1 where a class has no text."""
+    docs = table(spark, ["the of and", "to in is bad", "on be by", None, "", "are or bad", "as was", "that it", "for bad", "with on"])
+    kind = "doc_id bigint, y int"
+    cases = [[], [(0, 0), (1, 1)], [(0, 0), (1, 1), (2, 0), (5, 1)], [(i, int(i == 1)) for i in range(6)], [(i, i % 2) for i in range(10)], [(90, 0), (91, 1)], [(3, 0), (4, 1)], [(0, 0), (91, 1)]]
+    for rows in cases:
+        scores = [r["_score"] for r in operator(docs, docs, spark.createDataFrame(rows, kind), label="y").collect()]
+        assert len(scores) == 10 and all(0 <= s <= 1 for s in scores), rows
+        if not rows or rows[-1][0] >= 90:
+            assert set(scores) == {0.5}
+    none = docs.limit(0)
+    assert {r["_score"] for r in operator(docs, none, spark.createDataFrame(cases[4], kind), label="y").collect()} == {0.5}
+
+
+def test_fit_of_the_hinge_loss():
+    """Dual coordinate descent against plain subgradient steps on the same loss."""
+    rng = np.random.default_rng(2)
+    x = rng.random((60, 12)) < 0.4
+    y = (x[:, 0] | x[:, 1]).astype(int)
+    rows = [[np.flatnonzero(r)] for r in x]
+    held, kept = quality.split(y, 5)
+    t = y[kept] * 2.0 - 1
+    p, q = (1 + x[kept][t == c].sum(0) for c in (1, -1))
+    p, q = (np.concatenate([v, np.ones(4)]) for v in (p, q))
+    z = np.concatenate([np.pad(x[kept], ((0, 0), (0, 4))) * (np.log(p / p.sum()) - np.log(q / q.sum())), np.ones((len(kept), 1))], 1)
+    loss = lambda w: 0.5 * w @ w + quality.COST * np.maximum(0, 1 - t * (z @ w)).sum()
+    w = best = np.zeros(17)
+    for k in range(20_000):
+        w = w - (w - quality.COST * z.T @ (t * (t * (z @ w) < 1))) / (k + 10)
+        best = min(best, w, key=loss)
+    old, quality.MIX = quality.MIX, 1.0
+    weights, bias = quality.fit(rows, y, 0.5, bits=4)
+    quality.MIX = old
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    slope, _ = quality.calibrated(z_margin := (np.pad(x[held], ((0, 0), (0, 4))) * ratio) @ best[:16] + best[16], y[held], y, 0.5)
+    found = (np.pad(x, ((0, 0), (0, 4))) @ weights) + bias
+    plain = (np.pad(x, ((0, 0), (0, 4))) * ratio) @ best[:16] + best[16]
+    assert len(z_margin) and np.isfinite(slope) and np.corrcoef(found, plain)[0, 1] > 0.99
+
+
+def test_fingerprints_by_counting():
+    import xxhash
+
+    rnd = random.Random(8)
+    texts = [None, "", " ", "One", "one two", "A b C d", "İ ß\u00a0x y\x1cz \x0bw"] + [" ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(1, 60))) for _ in range(50)]
+    for words in (3, 5):
+        for text, fp in zip(texts, simhash.fingerprints(texts, words).tolist()):
+            lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+            own = re.findall("[^\x20\x09-\x0d]+", lower)
+            grams = [" ".join(own[i : i + words]) for i in range(len(own) - words + 1)] or ([" ".join(own)] if own else [])
+            h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+            assert fp == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_out_of_place_distance():
+    rnd = random.Random(9)
+    texts = {lang: " ".join(made(lang, rnd) for _ in range(30)) for lang in WORDS}
+    profiles = {lang: langid.ranked(*langid.grams(t)).tolist() for lang, t in texts.items()}
+    ranks = langid.Ranks(profiles)
+    for text in ("the of un une", "that le les pour it", "zzz", "a"):
+        own = langid.ranked(*langid.grams(text)).tolist()
+        far = {k: sum(abs(i - p.index(g)) if g in p else langid.PROFILE for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert ranks.predict(text) == (best, pytest.approx(1 - far[best] / (langid.PROFILE * len(own))))
+
+
+def test_neighbours_across_shards(spark):
+    """Several shards and more than one batch of queries, doubles, and columns with clashing names."""
+    x = np.random.default_rng(3).normal(size=(1500, 8))
+    rows = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, qid int, shard int")
+    hit = n = 0
+    found = {}
+    for r in ann.neighbours(rows, F.col("vec_id") % 5 == 0, shard_rows=200).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(found) == list(range(0, 1500, 5))
+    for q, own in found.items():
+        own.sort()
+        assert [k for k, _, _ in own] == list(range(1, 21)) and all(abs(x[q] @ x[v] - s) < 1e-12 for _, v, s in own)
+        best = [v for _, v in sorted((-(x[q] @ x[v]), v) for v in range(1500) if v != q)[:20]]
+        hit, n = hit + len(set(best) & {v for _, v, _ in own}), n + 20
+    assert hit / n >= 0.95
+
+
+def test_media_of_two_tracks(spark):
+    one = media.pack(b"x" * 192 * 30)
+    trak = next(one[a - 8 : b] for path, a, b in media.walk(memoryview(one)) if path[-1] == b"trak")
+    at = one.index(b"moov") - 4
+    size = int.from_bytes(one[at : at + 4], "big")
+    two = one[:at] + (size + len(trak)).to_bytes(4, "big") + one[at + 4 : at + size] + trak + one[at + size :]
+    split = one + media.box(b"moof", media.box(b"mfhd", b"\0" * 8))
+    rows = media.probe(spark.createDataFrame([(1, bytearray(one)), (2, bytearray(two)), (3, bytearray(split))], "i int, media binary")).orderBy("i").collect()
+    assert [len(r.tracks or []) for r in rows] == [1, 2, 0] and rows[2].error and rows[0].tracks[0].keyframes == rows[0].keyframes
+
+
+def test_added_spans_on_labelled_texts(spark):
+    """Personal data and look-alikes in sentences unlike those the trees are fitted on: precision and recall of what is added."""
+    rnd = random.Random(12)
+    d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    hx = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    good = [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}"], ["Ring me on phone ", "Her cell is "]
+    ids = [lambda: f"{d(3)}-{d(2)}-{d(4)}"], ["social security no. ", "SSN: "]
+    accounts = [lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"], ["transfer to IBAN ", "to bank account "]
+    secrets = [lambda: f'"{hx(40)}"'], ["api_token = ", "the secret_key: "]
+    bad = [lambda: f"{d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"20{d(2)}-{d(2)}-{d(2)} {d(2)}", lambda: "-" * 30, lambda: f"978-{d(3)}-{d(2)}-{d(4)}", lambda: hx(40)], ["ISBN ", "version ", "see pages ", "commit "]
+    texts, want = [], []
+    for _ in range(60):
+        for (spans, before), label in ((good, 1), (ids, 1), (accounts, 1), (secrets, 1), (bad, 0), (bad, 0)):
+            span, lead = rnd.choice(spans)(), rnd.choice(["Yesterday ", "Bonjour, ", "", "He wrote that "]) + rnd.choice(before)
+            at = len(lead) + (span[0] == '"')
+            texts.append(f"{lead}{span}, and so on")
+            want.append((at, at + len(span.strip('"'))) if label else None)
+    found = {r.doc_id: {(s.start, s.end) for s in r["added"]} for r in pii.find_spans(table(spark, texts)).collect()}
+    n = sum(map(len, found.values()))
+    hit = sum(w in found[i] for i, w in enumerate(want) if w)
+    assert hit / n >= 0.95 and hit / sum(map(bool, want)) >= 0.6, (hit, n, sum(map(bool, want)))
+
+
+def test_best_spans_are_taken_in_turn(spark):
+    text = "call (212) 555-1234 or fax 212.555.1234 now; to IBAN DE44 5001 0517 5407 3249 31 please"
+    row = pii.find_spans(table(spark, [text])).first()
+    assert not any(a.start < b.end and b.start < a.end for a in row["added"] for b in row["added"] if a != b) and row["added"]
