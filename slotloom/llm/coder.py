@@ -1,11 +1,14 @@
 """An adaptive context-mixing range coder for token ids, for many independent blocks at once.
 
-Every block starts from nothing. For each id, order-2 and order-1 contexts (hashed) predict one id each, the one last seen there, with
-a confidence; order 0 is the distribution of the block's ids up to the last power of two, and what has not been seen is one of
-all ids. Which of the four predictions holds is coded first, with adaptive frequencies chosen by both confidences, so that the
-orders are mixed as they have proved right; order 0 then takes a second step. The range coder is carryless: 48 bits, 16 at a time.
+Every block starts from nothing. For each id, the last one seen after the same two ids and after the same one (hashed contexts, each
+with a confidence) are predicted by orders 2 and 1; order 0 is the distribution of the block's ids so far, taken anew each time
+the block has grown by half; what has not been seen is one of all ids. The orders' weights are adaptive and chosen by both
+confidences. The probability of what order 2 predicts is the sum of what all orders give it: the weight of order 2, that of order 1 where
+it predicts the same, and that of order 0 times the id's share of the block (counted in hashed cells). An id is coded in one step, the sums
+of all ids being normalised; the weights then move towards the orders that were right.
 
-Blocks advance together, one numpy operation for all of them.
+The range coder has 64 bits, goes on 32 at a time, and carries into words already put out. Blocks advance together, one numpy
+operation for all of them, with small tables for each.
 """
 
 from __future__ import annotations
@@ -14,110 +17,107 @@ import zlib
 
 import numpy as np
 
-FIRST = 64
-ONE, TWO = 11, 12  # bits of the hashed contexts
+FIRST = 48
+ONE, TWO, CELLS = 11, 12, 10  # bits of the hashed contexts and of the cells that count ids
 SURE = 7
 STEP, MOST = 32, 4096
-_MASK, _TOP, _LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 24)
-_16, _32 = np.uint64(16), np.uint64(32)
+SCALE = 14
+_FIELDS = np.uint64(0x7FFF7FFF7FFF7FFF), np.uint64(0x0001000100010001)
+#: What the weights of orders 2, 1, 0 and of the rest, 16 bits each, gain by what was right: one of them, or orders 2 and 1 alike.
+_GAIN = np.array([STEP, STEP << 16, STEP << 32, STEP << 48, STEP // 2 << 16 | STEP // 2], np.uint64)
+_START = np.uint64(24 | 12 << 16 | 16 << 32 | 16 << 48)
+_FULL, _LEAST, _32 = np.uint64((1 << 64) - 1), np.uint64(1 << 32), np.uint64(32)
+_u = np.uint32
 
 
 class _Model:
+    """The predictions of all lanes. Lanes are sorted by length, the longest first, so that those that go on are the first n."""
+
     def __init__(self, lanes: int, size: int, vocabulary: int):
-        self.ids = np.zeros((lanes, size), np.int32)
-        self.vocabulary = vocabulary
-        self.base1, self.base2 = np.arange(lanes, dtype=np.int64) << ONE, np.arange(lanes, dtype=np.int64) << TWO
-        self.guess1, self.sure1 = np.full(lanes << ONE, -1, np.int32), np.zeros(lanes << ONE, np.int8)
-        self.guess2, self.sure2 = np.full(lanes << TWO, -1, np.int32), np.zeros(lanes << TWO, np.int8)
-        self.counts = np.tile(np.array([24, 12, 16, 16], np.int64), (lanes * (SURE + 1) ** 2, 1))
-        self.base = np.arange(lanes, dtype=np.int64) * (SURE + 1) ** 2
-        self.known = 0
+        self.ids, self.vocabulary = np.zeros((size, lanes), np.uint32), vocabulary  # a row for each place
+        lane = np.arange(lanes, dtype=np.int64)
+        self.base1, self.base2, self.base0, self.base = lane << ONE, lane << TWO, lane << CELLS, lane << 6
+        self.table1, self.table2 = np.zeros(lanes << ONE, np.uint32), np.zeros(lanes << TWO, np.uint32)
+        self.seen, self.weights = np.zeros(lanes << CELLS, np.uint16), np.full(lanes << 6, _START)
+        self.mixed = np.zeros(lanes, np.uint32)
+        self.known, self.next = 0, FIRST
 
     def grow(self, t: int) -> None:
-        """Sorts the history at powers of two, with the run of equal ids that each place belongs to."""
-        self.known = t
-        self.history = h = np.sort(self.ids[:, :t], axis=1)
-        new = np.ones(h.shape, bool)
-        new[:, 1:] = h[:, 1:] != h[:, :-1]
-        place = np.arange(t, dtype=np.int32)
-        self.left = np.maximum.accumulate(np.where(new, place, 0), axis=1).astype(np.int32)
-        last = np.ones(h.shape, bool)
-        last[:, :-1] = new[:, 1:]
-        self.right = np.minimum.accumulate(np.where(last, place + 1, t)[:, ::-1], axis=1)[:, ::-1].astype(np.int32)
+        """From now on order 0 is that of the first t ids."""
+        self.known, self.next = t, t + t // 2
 
     def at(self, t: int, n: int) -> None:
-        """Moves to place t of the first n lanes: finds their contexts, predictions and frequencies."""
-        p1 = self.ids[:n, t - 1].astype(np.int64) if t > 0 else np.zeros(n, np.int64)
-        p2 = self.ids[:n, t - 2].astype(np.int64) if t > 1 else np.zeros(n, np.int64)
-        self.h1 = self.base1[:n] + ((p1 * 40503 >> 3) & ((1 << ONE) - 1))
-        self.h2 = self.base2[:n] + (((p1 * 73244475 + p2 * 295559667) >> 9) & ((1 << TWO) - 1))
-        self.p1, self.p2 = self.guess1[self.h1], self.guess2[self.h2]
-        self.s1, self.s2 = self.sure1[self.h1], self.sure2[self.h2]
-        self.mix = self.base[:n] + self.s2.astype(np.int64) * (SURE + 1) + self.s1
-        self.freq = self.counts[self.mix]
-        self.upto = self.freq.cumsum(1)
+        """Moves to place t of the first n lanes: predictions, and how the range is divided into them, order 0 and the rest."""
+        own = self.ids[t - 1, :n] * _u(2654435761) if t else np.zeros(n, np.uint32)
+        both = own ^ self.mixed[:n] * _u(5)
+        self.mixed[:n] = own
+        self.h1, self.h2 = self.base1[:n] + (own >> _u(32 - ONE)), self.base2[:n] + (both >> _u(32 - TWO))
+        self.e1, self.e2 = self.table1.take(self.h1), self.table2.take(self.h2)
+        self.p1, self.p2 = self.e1 >> _u(3), self.e2 >> _u(3)
+        self.c1, self.c2 = self.e1 & _u(7), self.e2 & _u(7)
+        self.mix = self.base[:n] + ((self.c2 << _u(3)) + self.c1)
+        self.w = self.weights.take(self.mix)
+        f2, f1, f0, rest = (column.astype(np.uint32) for column in self.w.view(np.uint16).reshape(n, 4).T)
+        self.sum = f2 + f1 + f0 + rest
+        self.same = self.p1 == self.p2
+        share = _u(65536 // (t + 32))
+        often = self.seen.take(self.base0[:n] + ((self.p2 * _u(2654435761)) >> _u(32 - CELLS))) * share * f0 >> _u(16)
+        self.to2 = (f2 + f1 * self.same + often) << _u(SCALE)
+        self.to1 = self.to2 + (f1 * ~self.same << _u(SCALE))
+        self.unit0 = (f0 << _u(SCALE)) // _u(max(self.known, 1)) * _u(self.known > 0)
+        self.to0 = self.to1 + self.unit0 * _u(self.known)
+        self.unit = np.maximum((rest << _u(SCALE)) // _u(self.vocabulary), _u(1))
+        self.total = self.to0 + self.unit * _u(self.vocabulary)
 
     def learn(self, t: int, n: int, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.ids[:n, t] = ids
-        row = self.freq
-        row[np.arange(n), kind] += STEP
-        full = self.upto[:, 3] + STEP > MOST
-        if full.any():
-            row[full] = (row[full] + 1) >> 1
-        self.counts[self.mix] = row
-        for h, guess, sure, p, s in ((self.h1, self.guess1, self.sure1, self.p1, self.s1), (self.h2, self.guess2, self.sure2, self.p2, self.s2)):
-            hit = p == ids
-            s = np.where(hit, np.minimum(s + 1, SURE), s >> 1)
-            sure[h] = s
-            guess[h] = np.where(s == 0, ids, p)
-
-
-class _Range:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-
-    def narrow(self, n: int, upto, freq, unit: np.ndarray) -> None:
-        self.low[:n] += unit * upto
-        self.range[:n] = unit * freq
-        while True:
-            low, size = self.low[:n], self.range[:n]
-            same = (low ^ (low + size)) < _TOP
-            move = np.flatnonzero(same | (size < _LEAST))
-            if not len(move):
-                return
-            low, size = low[move], size[move]
-            size = np.where(same[move], size, (~low + np.uint64(1)) & (_LEAST - np.uint64(1)))
-            self.shift(move, low)
-            self.low[move], self.range[move] = (low << _16) & _MASK, size << _16
-
-
-class _Writer(_Range):
-    def __init__(self, lanes: int, size: int):
-        super().__init__(lanes)
-        self.words, self.used = np.zeros((lanes, 2 * size + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(self, move: np.ndarray, low: np.ndarray) -> None:
-        self.words[move, self.used[move]] = low >> _32
-        self.used[move] += 1
-
-    def put(self, n: int, upto: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        self.narrow(n, upto.astype(np.uint64), freq.astype(np.uint64), self.range[:n] // total.astype(np.uint64))
-
-
-class _Reader(_Range):
-    def __init__(self, words: np.ndarray):
-        super().__init__(len(words))
-        self.words, self.used = words, np.full(len(words), 3)
-        w = words[:, :3].astype(np.uint64)
-        self.code = w[:, 0] << _32 | w[:, 1] << _16 | w[:, 2]
-
-    def shift(self, move: np.ndarray, low: np.ndarray) -> None:
-        self.code[move] = ((self.code[move] << _16) & _MASK) | self.words[move, self.used[move]]
-        self.used[move] += 1
-
-    def peek(self, n: int, total: np.ndarray) -> np.ndarray:
-        self.unit = self.range[:n] // total.astype(np.uint64)
-        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        self.ids[t, :n] = ids
+        kind = np.where(self.same & (kind == 0), 4, kind)
+        w = self.w + _GAIN.take(kind)
+        full = np.flatnonzero(self.sum > MOST - STEP)
+        if len(full):
+            w[full] = ((w[full] >> np.uint64(1)) & _FIELDS[0]) + _FIELDS[1]
+        self.weights[self.mix] = w
+        for table, h, e, p, c in ((self.table1, self.h1, self.e1, self.p1, self.c1), (self.table2, self.h2, self.e2, self.p2, self.c2)):
+            table[h] = np.where(p == ids, e + (c < SURE), np.where(c < 2, ids << _u(3), e - c + (c >> _u(1))))
+        self.seen[self.base0[:n] + ((ids * _u(2654435761)) >> _u(32 - CELLS))] += 1
+
+
+#: Lanes that are sorted together: what they need stays in a core's cache.
+_GROUP = 64
+
+
+def _growths(size: int) -> list[int]:
+    """The places where order 0 is taken anew, and the end."""
+    out = [FIRST]
+    while out[-1] < size:
+        out.append(out[-1] + out[-1] // 2)
+    return [*out[:-1], size] if size > FIRST else []
+
+
+def _counted(whole: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place (row) and lane: how many ids of the history that order 0 then knows are less than the lane's own, and how many equal it."""
+    lanes, size = whole.shape
+    kind = np.uint16 if size < 1 << 16 else np.uint32
+    before, many = np.zeros((size, lanes), kind), np.zeros((size, lanes), kind)
+    places = max(1, (size - 1).bit_length())
+    width = np.uint32 if vocabulary << places <= 1 << 32 else np.uint64
+    for a in range(0, lanes, _GROUP):
+        ids = whole[a : a + _GROUP]
+        order = np.sort(ids.astype(width) << width(places) | np.arange(size, dtype=width), axis=1)
+        new = np.zeros(ids.shape, np.int32)
+        new[:, 1:] = order[:, 1:] >> width(places) != order[:, :-1] >> width(places)
+        code = np.empty(ids.shape, np.int64)  # the place of each id among the lane's different ones
+        np.put_along_axis(code, (order & width((1 << places) - 1)).astype(np.int64), new.cumsum(1), 1)
+        code += (np.arange(len(ids)) * size)[:, None]
+        counts, seen, ends = np.zeros(ids.size, np.int64), 0, _growths(size)
+        for t, end in zip(ends, ends[1:]):
+            counts += np.bincount(code[:, seen:t].ravel(), minlength=ids.size)
+            seen, ahead = t, code[:, t:end]
+            upto = counts.reshape(ids.shape).cumsum(1).ravel()
+            n = counts.take(ahead)
+            many[t:end, a : a + len(ids)] = n.T
+            before[t:end, a : a + len(ids)] = (upto.take(ahead) - n).T
+    return before, many
 
 
 def encode(ids: np.ndarray, vocabulary: int, block: int) -> list[bytes]:
@@ -126,43 +126,49 @@ def encode(ids: np.ndarray, vocabulary: int, block: int) -> list[bytes]:
     if not lanes:
         return []
     last, size = len(ids) - (lanes - 1) * block, min(block, len(ids))
-    whole = np.zeros((lanes, size), np.int32)
+    whole = np.zeros((lanes, size), np.uint32)
     whole.ravel()[: len(ids)] = ids
-    model, out = _Model(lanes, size, vocabulary), _Writer(lanes, size)
-    lane, ones, all_ids = np.arange(lanes, dtype=np.int64), np.ones(lanes, np.int64), np.full(lanes, vocabulary, np.int64)
-    spot = found = None
+    before, many = _counted(whole, vocabulary)
+    rows, lane = np.ascontiguousarray(whole.T), np.arange(lanes, dtype=np.int64)
+    model = _Model(lanes, size, vocabulary)
+    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+    words, used = np.zeros((lanes, size + 8), np.uint32), np.zeros(lanes, np.int64)
     for t in range(size):
         n = lanes if t < last else lanes - 1
-        if t >= FIRST and t & (t - 1) == 0:
+        if t == model.next:
             model.grow(t)
-            ahead = whole[:, t : 2 * t]
-            keys = (model.history + (lane << 32)[:, None]).ravel()
-            spot = np.searchsorted(keys, (ahead + (lane << 32)[:, None]).ravel()).reshape(ahead.shape) - (lane * t)[:, None]
-            found = (spot < t) & (np.take_along_axis(model.history, np.minimum(spot, t - 1), 1) == ahead)
         model.at(t, n)
-        own = whole[:n, t]
-        if spot is None:
-            kind = np.full(n, 3)
-        else:
-            at = spot[:n, t - model.known]
-            kind = np.where(found[:n, t - model.known], 2, 3)
-        kind = np.where(own == model.p2, 0, np.where(own == model.p1, 1, kind))
-        rows = lane[:n]
-        freq, upto = model.freq[rows, kind], model.upto[rows, kind]
-        out.put(n, upto - freq, freq, model.upto[:, 3])
-        total, a, f = np.where(kind == 3, all_ids[:n], 1), np.where(kind == 3, own, 0), ones[:n]
-        if spot is not None:
-            seen = kind == 2
-            c = np.minimum(at, model.known - 1)
-            total, a, f = np.where(seen, model.known, total), np.where(seen, at, a), np.where(seen, model.right[rows, c] - at, f)
-        out.put(n, a, f, total)
+        own, m = rows[t, :n], many[t, :n]
+        hit1, hit2, old = own == model.p1, own == model.p2, m > 0
+        kind = np.where(hit2, 0, np.where(hit1, 1, np.where(old, 2, 3)))
+        start, share = model.to1 + model.unit0 * before[t, :n], model.unit0 * m
+        for at, a, f in ((np.flatnonzero(kind == 3), None, model.unit), (np.flatnonzero(kind == 1), model.to2, model.to1 - model.to2), (np.flatnonzero(hit2), None, model.to2)):
+            start[at] = 0 if f is model.to2 else model.to0[at] + model.unit[at] * own[at] if a is None else a[at]
+            share[at] = f[at]
+        unit = wide[:n] // model.total
+        add = unit * start
+        low[:n] += add
+        over = np.flatnonzero(low[:n] < add)
+        at = used[over]
+        while len(over):
+            at -= 1
+            words[over, at] += _u(1)
+            go = words[over, at] == 0
+            over, at = over[go], at[go]
+        wide[:n] = unit * share
+        move = np.flatnonzero(wide[:n] < _LEAST)
+        if len(move):
+            rest, at = low[move], used[move]
+            words[move, at] = rest >> _32
+            used[move] = at + 1
+            low[move], wide[move] = rest << _32, wide[move] << _32
         model.learn(t, n, own, kind)
-    for k in (32, 16, 0):
-        out.words[lane, out.used] = (out.low >> np.uint64(k)) & np.uint64(0xFFFF)
-        out.used += 1
+    for k in (32, 0):
+        words[lane, used] = (low >> np.uint64(k)) & np.uint64(0xFFFFFFFF)
+        used += 1
     blocks = []
     for i in range(lanes):
-        body = out.words[i, : out.used[i]].astype("<u2").tobytes()
+        body = words[i, : used[i]].astype("<u4").tobytes()
         own = whole[i, : size if i < lanes - 1 else last]
         blocks.append(np.array([len(own), len(body), zlib.crc32(own.astype("<u4").tobytes())], "<u4").tobytes() + body)
     return blocks
@@ -182,6 +188,23 @@ def blocks_of(data: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of each lane (a column of ``ids``) in order, and for each place the first and the one after the last of its run of equal ids."""
+    t, lanes = ids.shape
+    h, left, right = np.empty((lanes, t), np.uint32), np.empty((lanes, t), np.int32), np.empty((lanes, t), np.int32)
+    place = np.arange(t, dtype=np.int32)
+    for a in range(0, lanes, _GROUP):
+        own = np.sort(ids[:, a : a + _GROUP].T, axis=1)
+        new = np.ones(own.shape, bool)
+        new[:, 1:] = own[:, 1:] != own[:, :-1]
+        last = np.ones(own.shape, bool)
+        last[:, :-1] = new[:, 1:]
+        h[a : a + _GROUP] = own
+        left[a : a + _GROUP] = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        right[a : a + _GROUP] = np.minimum.accumulate(np.where(last, place + 1, t)[:, ::-1], axis=1)[:, ::-1]
+    return h.ravel(), left.ravel(), right.ravel()
+
+
 def decode(data: bytes, vocabulary: int) -> np.ndarray:
     """The ids of all blocks of ``data``. A block whose checksum differs raises ValueError."""
     blocks = blocks_of(data)
@@ -190,35 +213,46 @@ def decode(data: bytes, vocabulary: int) -> np.ndarray:
     if not len(counts) or not counts[0]:
         return np.empty(0, np.int32)
     size, lanes = int(counts[0]), len(counts)
-    words = np.zeros((lanes, max(len(b[2]) for b in blocks) // 2 + 8), np.uint16)
+    words = np.zeros((lanes, max(len(b[2]) for b in blocks) // 4 + 8), np.uint32)
     for k, i in enumerate(order):
-        words[k, : len(blocks[i][2]) // 2] = np.frombuffer(blocks[i][2], "<u2")
-    model, code = _Model(lanes, size, vocabulary), _Reader(words)
-    lane = np.arange(lanes, dtype=np.int64)
+        words[k, : len(blocks[i][2]) // 4] = np.frombuffer(blocks[i][2], "<u4", len(blocks[i][2]) // 4)
+    model = _Model(lanes, size, vocabulary)
+    code, wide, used = words[:, 0].astype(np.uint64) << _32 | words[:, 1], np.full(lanes, _FULL), np.full(lanes, 2)
+    most = words.shape[1] - 1
     for t in range(size):
         n = int(np.searchsorted(-counts, -t, side="left"))
-        if t >= FIRST and t & (t - 1) == 0:
+        if t == model.next:
+            history, left, right = _runs(model.ids[:t, :n])
             model.grow(t)
         model.at(t, n)
-        rows = lane[:n]
-        kind = (code.peek(n, model.upto[:, 3])[:, None] >= model.upto[:, :3]).sum(1)
-        freq, upto = model.freq[rows, kind], model.upto[rows, kind]
-        code.narrow(n, (upto - freq).astype(np.uint64), freq.astype(np.uint64), code.unit)
-        total = np.where(kind == 3, vocabulary, np.where(kind == 2, max(model.known, 1), 1))
-        value = code.peek(n, total)
-        ids = np.where(kind == 0, model.p2, np.where(kind == 1, model.p1, value))
-        a, f = np.where(kind == 3, value, 0), np.ones(n, np.int64)
-        if model.known:
-            c = np.minimum(value, model.known - 1)
-            seen = kind == 2
-            ids = np.where(seen, model.history[rows, c], ids)
-            a = np.where(seen, model.left[rows, c], a)
-            f = np.where(seen, model.right[rows, c] - model.left[rows, c], f)
-        code.narrow(n, a.astype(np.uint64), f.astype(np.uint64), code.unit)
-        model.learn(t, n, ids.astype(np.int32), kind)
+        unit = wide[:n] // model.total
+        now = np.minimum(code[:n] // unit, model.total - _u(1)).astype(np.uint32)
+        kind = (now >= model.to2).astype(np.int64) + (now >= model.to1) + (now >= model.to0)
+        ids, start, share = model.p2.copy(), np.zeros(n, np.uint32), model.to2.copy()
+        one, two, rest = (np.flatnonzero(kind == k) for k in (1, 2, 3))
+        ids[one], start[one], share[one] = model.p1[one], model.to2[one], model.to1[one] - model.to2[one]
+        if len(two):
+            unit0, to1 = model.unit0[two], model.to1[two]
+            spot = (now[two] - to1) // unit0 + two * model.known
+            first = left.take(spot).astype(np.uint32)
+            ids[two], start[two], share[two] = history.take(spot), to1 + unit0 * first, unit0 * (right.take(spot).astype(np.uint32) - first)
+        if len(rest):
+            each, to0 = model.unit[rest], model.to0[rest]
+            value = (now[rest] - to0) // each
+            ids[rest], start[rest], share[rest] = value, to0 + each * value, each
+        code[:n] -= unit * start
+        wide[:n] = unit * share
+        move = np.flatnonzero(wide[:n] < _LEAST)
+        if len(move):
+            at = used[move]
+            code[move] = code[move] << _32 | words[move, np.minimum(at, most)]
+            used[move] = at + 1
+            wide[move] = wide[move] << _32
+        model.learn(t, n, ids, kind)
+    ids_of = np.ascontiguousarray(model.ids.T).astype(np.int32)
     parts: list[np.ndarray] = [np.empty(0, np.int32)] * lanes
     for k, i in enumerate(order):
-        parts[i] = model.ids[k, : blocks[i][0]]
+        parts[i] = ids_of[k, : blocks[i][0]]
         if zlib.crc32(parts[i].astype("<u4").tobytes()) != blocks[i][1]:
             raise ValueError("a block's checksum differs")
     return np.concatenate(parts)
