@@ -115,8 +115,11 @@ class Bpe:
             return self.encode_plain(word)
         return [i for part in self.specials.split(word) if part for i in ([self.special[part]] if part in self.special else self.encode_plain(part))]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [self.encode_word(w) for w in words]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``words`` in turn, and how many each has."""
+        lists = [self.encode_word(w) for w in words]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum())), lengths
 
 
 @lru_cache(maxsize=4)

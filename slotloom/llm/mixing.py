@@ -76,7 +76,11 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), draw)
     rows = rows.select(*names, count.alias("n")).where("n > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("replica"))
     rows = rows.withColumn("mix_key", hashed(F.lit(seed), F.lit("order"), doc, "replica"))
-    return rows.repartitionByRange("mix_key").sortWithinPartitions("mix_key", at["doc_id"], "replica").toDF(*docs.columns, replica, key)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the hash is uniform, so its ranges are fixed and need no sample, which would be drawn from the whole job once more
+    slot = F.floor(F.col("mix_key") * F.lit(parts) / F.lit(float(1 << BITS))).cast("int")
+    dealt = rows.repartitionById(parts, slot) if hasattr(rows, "repartitionById") else rows.repartitionByRange(parts, "mix_key")
+    return dealt.sortWithinPartitions("mix_key", at["doc_id"], "replica").toDF(*docs.columns, replica, key)
 
 
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

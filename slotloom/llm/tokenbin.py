@@ -30,6 +30,7 @@ from slotloom.llm.words import WordEncoder
 BLOCK = 1 << 11
 LEAST = 1 << 8
 TOGETHER = 512
+GROUP = 64
 #: A chunk is closed once it has so many ids; a longer document is a chunk of its own.
 CHUNK = 6 << 20
 END = 2
@@ -44,7 +45,29 @@ def _encoder(path: str) -> tuple[WordEncoder, int]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return WordEncoder(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]), tokenizer.get_vocab_size()
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    marker, mark = next(iter(special.items())) if special else (None, -1)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words go to the library ``GROUP`` at a time, with a special token between them, at which it cuts texts before anything else; words that hold one go by themselves."""
+        odd = [any(s in w for s in special) for w in words]
+        groups, start = [], 0
+        while start < len(words):
+            stop = start + 1
+            while marker and not odd[start] and stop < min(len(words), start + GROUP) and not odd[stop]:
+                stop += 1
+            groups.append(words[start:stop])
+            start = stop
+        found = tokenizer.encode_batch_fast([g[0] if len(g) == 1 else marker.join(g) for g in groups], add_special_tokens=False)
+        flat, lengths = [], []
+        for group, e in zip(groups, found):
+            ids = np.array(e.ids, np.int32)
+            cuts = np.flatnonzero(ids == mark) if len(group) > 1 else []
+            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])).astype(np.int64) - 1)
+            flat.append(np.delete(ids, cuts) if len(group) > 1 else ids)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    return WordEncoder(encode), tokenizer.get_vocab_size()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = END, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -66,7 +89,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END, block: int = B
             )
 
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, rows=128, size=1 << 20):
                 ids, counts = encode(batch.column(1).to_pylist())
                 stops = np.cumsum(counts)
                 ids, counts = np.insert(ids, stops, end), counts + 1

@@ -37,9 +37,9 @@ KEPT, LONG = 8 << 20, 256
 
 
 class WordEncoder:
-    """Encodes texts with ``encode_words`` (distinct words to lists of ids), which it asks once for each word it keeps."""
+    """Encodes texts with ``encode_words`` (from distinct words to all their ids and how many each has), which it asks once for each word it keeps."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], keep: int = 400_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = 400_000):
         self.encode_words, self.keep = encode_words, keep
         self._clear()
 
@@ -57,13 +57,11 @@ class WordEncoder:
             ends.append(len(words))
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.fresh:
-            lists = self.encode_words(self.codes.fresh)
+            flat, lengths = self.encode_words(self.codes.fresh)
             sizes = list(map(len, self.codes.fresh))
             self.held += sum(sizes)
             long = max(sizes) > LONG
             self.codes.fresh = []
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
             self.pool, self.lengths = np.concatenate([self.pool, flat]), np.concatenate([self.lengths, lengths])
         else:
