@@ -31,7 +31,7 @@ BITS = 52
 
 def hashed(*parts: Column | str) -> Column:
     """52 uniform bits from the parts' texts."""
-    text = F.concat_ws(":", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("null")).cast("string") for p in parts])
+    text = F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("bigint")
 
 
